@@ -21,6 +21,8 @@ _LOWER = np.frombuffer(LOWER, np.uint8)
 #: Bytes of [\x20\x09-\x0D].
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes outside of words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ once A-Z are lowered.
+SIGNS = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -114,13 +116,13 @@ def chunks(off: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes in `data`) of words [^\\x20\\x09-\\x0D]+ and, per row of `off`, the number of its first word (one more than rows)."""
+def word_spans(data: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes in `data`) of words, by default [^\\x20\\x09-\\x0D]+, and, per row of `off`, the number of its first word (one more than rows)."""
     base = off[0]
     part = data[base : off[-1]]
     if not len(part):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    inside = ~_SPACE[part]
+    inside = ~gap[part]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cut = off[1:-1] - base
@@ -135,9 +137,9 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts + base, ends + base, np.searchsorted(starts, off - base)
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of rows, A-Z lowered, and per row the number of its first word."""
-    starts, ends, rows = word_spans(data, off)
+    starts, ends, rows = word_spans(data, off, gap)
     if not len(starts):
         return np.zeros(0, _U), rows
     base = off[0]
@@ -147,7 +149,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     owner = np.repeat(starts - base, np.diff(np.append(starts - base, len(part))))
     lead = int(starts[0] - base)
     place[lead:] -= owner
-    inside = ~_SPACE[part]
+    inside = ~gap[part]
     place[:lead] = 0
     place *= inside
     value = powers(int(lengths.max()) + 1)[place]
@@ -170,7 +172,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(size):
         out += words[j : n - size + 1 + j] * _WEIGHTS[j]
     if size < k:
-        out += _U(size) * _U(0x8EBC6AF09C88C6E3)
+        out += _U(size * 0x8EBC6AF09C88C6E3 % 2**64)
     return mix(out)
 
 
