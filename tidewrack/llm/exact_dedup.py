@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import Scratch, documents
+from tidewrack.llm.common import Scratch, documents, free_name
 
 FAN_IN = 8
 KEY = ["digest", "n_bytes", "second"]
@@ -60,10 +60,11 @@ def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns; rows that repeat a kept doc_id with an equal text leave one."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_sha256", F.sha2(normalised(), 256))
-    out = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha256") == F.col("_sha")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_sha256"]).drop("_sha256")
+    sha, other, own_id = (free_name(docs, x) for x in ("_sha", "_other_sha", "_own_id"))
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(other))
+    rows = docs.withColumn(sha, F.sha2(normalised(), 256))
+    out = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(sha) == F.col(other)), "left_semi")
+    return out.dropDuplicates(["doc_id", sha]).drop(sha)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

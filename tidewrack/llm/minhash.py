@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import Scratch, chunks, components, documents, mix, shingle_hashes, text_buffer, word_hashes
+from tidewrack.llm.common import Scratch, chunks, components, documents, free_name, mix, shingle_hashes, text_buffer, word_hashes
 
 BANDS, ROWS = 32, 5
 UNIVERSE_BITS = 20
@@ -226,5 +226,12 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands: int =
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_smallest(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that near_dedup keeps, with all their columns."""
+    own_id = free_name(docs, "_own_id")
+    kept = near_dedup(docs, k, percent).where("kept").select(F.col("doc_id").alias(own_id)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own_id)), "left_semi")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir), k=4)

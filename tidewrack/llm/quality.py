@@ -203,5 +203,23 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0,
     return scored(docs, fit(docs, labels, ~held_out, sample=sample), held_out)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0, sample: int = SAMPLE, keep_at: float = PREDICT_AT, words: int = PASSAGE_WORDS) -> DataFrame:
+    """The rows of docs with a score of keep_at at least, with all their columns; all rows without a model."""
+    model = fit(docs, labels, ~held_out_by(modulus, rest), sample=sample)
+    if model is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, data = text_buffer(batch.column(at))
+            scores = [np.zeros(0)]
+            for i, j in chunks(off):
+                scores.append(model.score(*passage_statistics(data, off[i : j + 1], words)))
+            yield batch.filter(pa.array(np.concatenate(scores) >= keep_at))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
