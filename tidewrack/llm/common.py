@@ -1,9 +1,7 @@
-"""What several operators share: scratch tables, word hashes over Arrow buffers, connected components."""
+"""What several operators share: word hashes over Arrow buffers, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewrack.scratch import Scratch
+
 #: Bytes of text that are worked on as one flat array.
 CHUNK_BYTES = 1 << 20
 
@@ -38,41 +38,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-# --- scratch tables -------------------------------------------------------------------------------
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set and the master is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="tidewrack-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-class Scratch:
-    """Tables written in the shared folder: they cut lineage, survive lost executors and are dropped by name."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/tidewrack/{label}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def table(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 # --- words and shingles as flat arrays ---------------------------------------------------------------
 
 
