@@ -22,7 +22,7 @@ from tidewrack.llm.common import Scratch, documents
 CAPACITY = 1024
 END_ID = 2
 #: Mean pieces in a shard.
-SHARD_PIECES = 8192
+SHARD_PIECES = 16384
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each length in the order given. Of equally good gaps the smallest is taken, a new bin last."""
+    """Bin and offset of each length in the order given. Of equally good gaps the smallest is taken; a bin is opened only where none has room."""
     count = np.zeros(capacity + 1, np.int64)  # open bins by gap; count[0] and count[capacity] stay 0
     bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -66,9 +66,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
                 change = 2 * (count[: capacity - size] - gaps) + 2
                 change[0] -= 1
                 change[gaps == 0] = 2**62
-                best = int(change.argmin())
-                if change[best] <= 2 * count[capacity - size] + 1:
-                    gap = size + best
+                gap = size + int(change.argmin())
         if gap == capacity:
             b, n = n, n + 1
         else:
