@@ -29,6 +29,11 @@ def search_tokens(text: Column) -> Column:
     return F.concat(plain, han)
 
 
+def phrase_tokens(text: Column) -> Column:
+    """tokens() in which every Han character stands by itself, so that adjacency needs no dictionary."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"), 0)
+
+
 def joined(tokens_: Column) -> Column:
     """Tokens between single spaces, with one at each end: a phrase is then a substring."""
     return F.concat(F.lit(" "), F.array_join(tokens_, " "), F.lit(" "))

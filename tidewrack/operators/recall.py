@@ -21,10 +21,10 @@ def type_is(doc_type: Column, kind: str) -> Column:
     return F.lower(doc_type) == kind.lower()
 
 
-def has_phrase(text: Column, phrase: str, split=tx.tokens) -> Column:
-    """The phrase's tokens stand next to each other in this order."""
-    words = re.findall(r"[^\W_]+", phrase.lower())
-    return F.contains(tx.joined(split(text)), F.lit(" " + " ".join(words) + " ")) if words else F.lit(True)
+def has_phrase(text: Column, phrase: str) -> Column:
+    """The phrase's tokens stand next to each other in this order; Han characters are tokens of their own."""
+    words = re.findall(r"[㐀-鿿]|[^\W_㐀-鿿]+", phrase.lower())
+    return F.contains(tx.joined(tx.phrase_tokens(text)), F.lit(" " + " ".join(words) + " ")) if words else F.lit(True)
 
 
 def wildcard_pattern(term: str) -> str:

@@ -13,7 +13,7 @@ from tidewrack.plans.query import ParsedQuery, parse
 BACKENDS = ("auto", "local")
 
 
-def matching(docs: DataFrame, q: ParsedQuery, split=tx.tokens) -> DataFrame:
+def matching(docs: DataFrame, q: ParsedQuery) -> DataFrame:
     """docs that meet all parts of the query but the bare words; host and type are pushed down to the scan."""
     out = docs
     if q.site:
@@ -21,7 +21,7 @@ def matching(docs: DataFrame, q: ParsedQuery, split=tx.tokens) -> DataFrame:
     if q.filetype:
         out = out.where(recall.type_is(F.col("doc_type"), q.filetype))
     for phrase in q.phrases:
-        out = out.where(recall.any_field(docs, lambda c, p=phrase: recall.has_phrase(c, p, split), ("title", "body", "anchor_text", "attachment_text")))
+        out = out.where(recall.any_field(docs, lambda c, p=phrase: recall.has_phrase(c, p), ("title", "body", "anchor_text", "attachment_text")))
     for term in q.wildcards:
         out = out.where(recall.any_field(docs, lambda c, t=term: recall.has_wildcard(c, t)))
     for pattern in q.regexes:
@@ -55,7 +55,7 @@ def search(
         raise ValueError(f"backend {backend!r} is not supported; recall is native: {', '.join(BACKENDS)}")
     q = parse(query, site, filetype)
     fields = fields or {f: c for f, c in {"title": "title", "anchor": "anchor_text", "attachment": "attachment_text", "body": "body"}.items() if c in docs.columns}
-    found = matching(docs, q, split)
+    found = matching(docs, q)
     if q.terms:
         ix = ix or index.build_index(docs, fields, config.idf_mode, split=split)
         vsm = rank.fused(rank.field_cosines(ix, q.terms, config.idf_mode), config.field_weights)
@@ -71,7 +71,7 @@ def search(
     fresh = rank.freshness(F.col("fetched_at"), as_of, config.fresh_days) if "fetched_at" in docs.columns else F.lit(0.0)
     exact = F.lit(False)
     for phrase in [*q.phrases, *([" ".join(q.terms)] if len(q.terms) > 1 else [])]:
-        exact = exact | F.coalesce(recall.has_phrase(F.col("body"), phrase, split) | recall.has_phrase(F.col("title"), phrase, split), F.lit(False))
+        exact = exact | F.coalesce(recall.has_phrase(F.col("body"), phrase) | recall.has_phrase(F.col("title"), phrase), F.lit(False))
     hit = F.arrays_overlap(split(F.col("title")), F.array(*map(F.lit, sorted(set(q.terms))))) if q.terms else F.lit(False)
     signals = {
         "vsm": F.col("vsm"),
@@ -103,7 +103,7 @@ def personas(docs: DataFrame, query: str, users: DataFrame, clicks: DataFrame, n
     fields = {f: c for f, c in {"title": "title", "body": "body"}.items() if c in docs.columns}
     ix = index.build_index(docs, fields, config.idf_mode, split=split)
     vsm = rank.fused(rank.field_cosines(ix, q.terms, config.idf_mode), config.field_weights)
-    found = matching(docs, q, split).join(vsm, "doc_id")
+    found = matching(docs, q).join(vsm, "doc_id")
     pers = personal.personalised(found, users.select("user_id", "role", "interests"), clicks, config)
     rows = found.select("doc_id", "doc_type", "vsm").join(pers, "doc_id").join(F.broadcast(users.select("user_id", "persona")), "user_id")
     return personal.top_by_persona(rows.withColumn("score", F.round(F.col("vsm") + config.gamma * F.col("pers"), 6)), n).select("persona", "rn", "doc_id", "doc_type", "score")
