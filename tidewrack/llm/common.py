@@ -152,6 +152,10 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 # --- connected components ------------------------------------------------------------------------------
 
 
+#: From so many edges on, a round's minima are written before they are joined: Spark can then split a vertex with very many edges.
+SPLIT_EDGES = 200_000
+
+
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """Smallest id reachable from each id: (id, component) for every id in edges(a, b), self-edges included.
 
@@ -165,11 +169,13 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     for _ in range(most_rounds):
         if not seen[0]:
             break
+        held = scratch.table if seen[0] >= SPLIT_EDGES else lambda t: t
         both = e.where("u <> v")
         both = both.unionByName(both.select(*pair(F.col("v"), F.col("u"))))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = held(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(*pair(F.col("v"), F.col("m"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = held(large)
+        low = held(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(*pair(F.col("v"), F.col("m")))
         roots = e.where("u = v")
         done = scratch.table(small.unionByName(low.select(*pair(F.col("u"), F.col("m")))).unionByName(roots).distinct())

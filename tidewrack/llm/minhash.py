@@ -198,7 +198,7 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands: int =
 
     # every class of a bucket against the bucket's smallest
     slots = classes.select("id", "n", F.explode("bands").alias("key"))
-    leaders = slots.groupBy("key").agg(F.min(F.struct("id", "n")).alias("leader"), F.count("*").alias("size")).where("size > 1")
+    leaders = scratch.table(slots.groupBy("key").agg(F.min(F.struct("id", "n")).alias("leader"), F.count("*").alias("size")).where("size > 1"))
     members = slots.join(leaders, "key").where("id <> leader.id").select("key", "id", "n", F.col("leader.id").alias("leader"), F.col("leader.n").alias("leader_n"))
     members = scratch.table(members)
     wanted = members.select("id").unionByName(members.select(F.col("leader").alias("id"))).distinct()
