@@ -108,8 +108,9 @@ def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
         return pd.Series([[(p, 0), (before[i], 1)] if i in before else [(p, 0)] for i, p in zip(doc_id.tolist(), number(doc_id).tolist(), strict=True)])
 
     spread = docs.select("doc_id", "text").where("doc_id is not null").select("doc_id", "text", F.explode(places("doc_id")).alias("at")).select(F.col("at.part").alias("part"), F.col("at.guest").alias("guest"), "doc_id", "text")
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return spread.repartition(max(1, min(most, len(parts))), "part").sortWithinPartitions("part", "guest", F.desc("doc_id"))
+    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), len(parts)))
+    runs = max(parts, default=0) + 1  # neighbouring ranges go to one task, as many to each
+    return spread.repartitionById(n, F.floor(F.col("part") * n / runs).cast("int")).sortWithinPartitions("part", "guest", F.desc("doc_id"))
 
 
 def edited(text: str, following: str) -> str:
