@@ -97,6 +97,11 @@ def search(
     return out.select("place", "doc_id", "url", "host", "doc_type", rank.display_title(F.col("title"), F.col("body")).alias("title"), "score", "signals", snippet.alias("snippet"), (F.col("doc_type") != "html").alias("download")).orderBy("place")
 
 
+def page(results: DataFrame, number: int, size: int) -> DataFrame:
+    """One page (from 1) of ordered results."""
+    return results.offset((number - 1) * size).limit(size)
+
+
 def personas(docs: DataFrame, query: str, users: DataFrame, clicks: DataFrame, n: int = 10, config: RankingConfig = DEFAULT, split=tx.tokens) -> DataFrame:
     """persona, rn, doc_id, doc_type, score: one query's best documents for each of users(persona, user_id, role, interests)."""
     q = parse(query)

@@ -606,3 +606,40 @@ def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("unique_clicks", "SELECT DISTINCT event_id, user_id FROM events WHERE event_type = 'click'")
 def unique_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.unique_clicks(b.table(spark, sf_dir, "events")).select("event_id", "user_id")
+
+
+# --- small things that go with them -----------------------------------------------------------------------
+
+
+@query("result_page", f"WITH {_cosine('smooth')} SELECT doc_id, round(sim, 6) AS sim FROM sim ORDER BY round(sim, 6) DESC, doc_id LIMIT 10 OFFSET 20")
+def result_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s.page(vsm_cosine(spark, sf_dir).orderBy(F.desc("sim"), "doc_id"), 3, 10)
+
+
+@query("attachment_lookup", "SELECT page_id, 'attachments/' || md5(url) || '.pdf' AS path FROM pages WHERE page_id = 12")
+def attachment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = b.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/old/attachments/"), F.md5("url"), F.lit(".pdf")).alias("path"))
+    return stored.where("page_id = 12").select("page_id", F.regexp_replace(urls.relocated(F.col("path"), "."), r"^\./", "").alias("path"))
+
+
+@query("emails_found", r"SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), ',') AS emails FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')")
+def emails_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pattern = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+    return b.table(spark, sf_dir, "documents").where(F.rlike("text", F.lit(pattern))).select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(pattern), 0), ",").alias("emails"))
+
+
+@query("type_shares", "SELECT lang AS doc_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS percent FROM documents GROUP BY lang")
+def type_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The total is taken over the few grouped rows."""
+    from pyspark.sql import Window
+
+    counts = b.docs(spark, sf_dir).groupBy("doc_type").agg(F.count("*").alias("n"))
+    return counts.withColumn("percent", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6))
+
+
+@query("clicks_running", "SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS clicks FROM events WHERE event_type = 'click'")
+def clicks_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return b.clicks(spark, sf_dir).select("user_id", "event_id", F.count("*").over(w).alias("clicks"))
