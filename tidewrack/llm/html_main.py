@@ -419,8 +419,9 @@ def extract(pages: DataFrame, sample: int = SAMPLE, made: int = MADE) -> DataFra
     Null and empty html have an empty text; html without any block is judged like one. Repeated rows each give a row,
     nulls in page_id or url stay, an empty table gives an empty result; further columns are not read.
     """
-    seen = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id", "url").limit(sample)
-    models = fit([r.html for r in seen.select("html").collect()], made)
+    chosen = pages.where("html is not null and page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    seen = pages.select("page_id", "html").join(F.broadcast(chosen), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
+    models = fit([r.html for r in seen.orderBy("page_id").collect() if r.html], made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -154,10 +154,15 @@ def training_rows(labels: DataFrame, label: str, learn: Column, sample: int) ->
     return one(0).unionByName(one(1))
 
 
+def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int) -> DataFrame:
+    """doc_id, y, text of the documents to learn from; of rows that repeat a doc_id the smallest text."""
+    chosen = F.broadcast(training_rows(labels, label, learn, sample))  # 2 * sample rows at most
+    return docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", sample: int = SAMPLE, epochs: int = EPOCHS) -> Attention | None:
     """None if not both labels are there to learn from."""
-    rows = docs.select("doc_id", "text").join(F.broadcast(training_rows(labels, label, learn, sample)), "doc_id")
-    found = bags(rows).collect()
+    found = bags(sampled_texts(docs, labels, label, learn, sample)).collect()
     y = np.array([r.y for r in found], np.float32)
     if not len(y) or y.min() == y.max():
         return None
