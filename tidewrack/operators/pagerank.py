@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tidewrack.scratch import Scratch
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 10, cut_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 10, cut_every: int = 2) -> DataFrame:
     """id, pr of every vertex of edges(src, dst); ranks sum to 1.
 
     Duplicate edges and self-loops are left out; the rank of vertices without out-links is spread evenly. Edges are
-    written once with their out-degree; ranks are cut from their lineage every few rounds, in the shared folder.
+    written once with their out-degree. Only where some vertices have no out-links are ranks read twice in a round;
+    their lineage is then cut every `cut_every` rounds. The result is a written table.
     """
     scratch = Scratch(edges.sparkSession, "pagerank")
     all_ = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
@@ -25,14 +26,18 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 10, cut_
         return vertices.withColumn("pr", F.lit(0.0))
     sinks = scratch.table(vertices.join(degree.withColumnRenamed("src", "id"), "id", "left_anti"))
     ranks = vertices.withColumn("pr", F.lit(1.0 / n))
+    dangling = bool(sinks.take(1))
     for i in range(1, iterations + 1):
         given = own.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pr") / F.col("degree")).alias("given"))
-        lost = ranks.join(sinks, "id", "left_semi").agg(F.coalesce(F.sum("pr"), F.lit(0.0)).alias("lost"))
-        ranks = vertices.join(given, "id", "left").crossJoin(F.broadcast(lost))  # a single row
-        ranks = ranks.select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / n)).alias("pr"))
-        if i % cut_every == 0 and i < iterations:
+        lost = F.lit(0.0)
+        after = vertices.join(given, "id", "left")
+        if dangling:
+            total = ranks.join(sinks, "id", "left_semi").agg(F.coalesce(F.sum("pr"), F.lit(0.0)).alias("lost"))
+            after, lost = after.crossJoin(F.broadcast(total)), F.col("lost")  # a single row
+        ranks = after.select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("given", F.lit(0.0)) + lost / n)).alias("pr"))
+        if dangling and i % cut_every == 0 and i < iterations:
             ranks = scratch.table(ranks)
-    return ranks
+    return scratch.table(ranks)
 
 
 def normalised(ranks: DataFrame) -> DataFrame:
