@@ -367,6 +367,29 @@ def test_substring_covers_every_exact_repeat(spark):
     assert all(r.source_doc_id < r.doc_id and r.end_word - r.start_word >= 50 and 100 * r.n_matched >= 80 * (r.end_word - r.start_word) for r in rows)
 
 
+def test_substring_passages_whose_parts_stand_in_earlier_documents(spark):
+    rng = np.random.default_rng(12)
+    texts = {}
+    for n in range(10, 110, 10):
+        parts = [prose(rng, 20) for _ in range(3)]
+        texts |= {n + i: f"{prose(rng, 80)} {part} {prose(rng, 80)}" for i, part in enumerate(parts)}
+        texts |= {n + i: f"{prose(rng, 80)} {' '.join(parts)} {prose(rng, 80)}" for i in (3, 4)}
+    rows = substring.repeated_passages(make(spark, texts.items())).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.source_doc_id, r.source_start) for r in rows} == {(n + 4, 80, 140, n + 3, 80) for n in range(10, 110, 10)}
+
+
+def test_substring_long_seeds_cover_every_window():
+    rng = np.random.default_rng(14)
+    words = rng.integers(0, 2**63, 40).astype(np.uint64)[rng.integers(0, 3, 400)]
+    hashes = substring.windows(words, 5)
+    groups = {}
+    for i in range(396):
+        groups.setdefault(tuple(words[i : i + 5].tolist()), set()).add(int(hashes[i]))
+    assert all(len(h) == 1 for h in groups.values()) and len(set.union(*groups.values())) == len(groups)
+    x, y = np.array([3, 4, 5, 9, 4, 5, 6, 7]), np.array([13, 14, 15, 2, 44, 45, 46, 47])
+    assert list(substring.runs(x, y, 50, 5)) == [([3, 48, 50], [13, 58, 60]), ([4, 49, 52], [44, 89, 92]), ([9, 54], [2, 47])]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), min_size=1, max_size=25, unique=True))
 def test_best_chain_equals_quadratic_search(matches):
