@@ -378,6 +378,15 @@ def test_substring_passages_whose_parts_stand_in_earlier_documents(spark):
     assert {(r.doc_id, r.start_word, r.end_word, r.source_doc_id, r.source_start) for r in rows} == {(n + 4, 80, 140, n + 3, 80) for n in range(10, 110, 10)}
 
 
+def test_substring_passages_late_in_a_source_that_has_their_lines_before(spark):
+    rng = np.random.default_rng(13)
+    lines = [prose(rng, 9) for _ in range(7)]
+    early = " ".join(f"{line} {prose(rng, 9)}" for line in lines[::-1])
+    texts = {1: f"{early} {' '.join(lines)} {prose(rng, 50)}", 2: f"{prose(rng, 40)} {' '.join(lines)} {prose(rng, 40)}"}
+    rows = substring.repeated_passages(make(spark, texts.items())).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.source_doc_id, r.source_start) for r in rows} >= {(2, 40, 103, 1, 126)}
+
+
 def test_substring_long_seeds_cover_every_window():
     rng = np.random.default_rng(14)
     words = rng.integers(0, 2**63, 40).astype(np.uint64)[rng.integers(0, 3, 400)]
