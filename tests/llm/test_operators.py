@@ -387,6 +387,18 @@ def test_substring_passages_late_in_a_source_that_has_their_lines_before(spark):
     assert {(r.doc_id, r.start_word, r.end_word, r.source_doc_id, r.source_start) for r in rows} >= {(2, 40, 103, 1, 126)}
 
 
+def test_substring_finds_passages_down_to_its_percentage(spark):
+    rng = np.random.default_rng(15)
+    texts, want = {}, set()
+    for n, every in enumerate([5, 6, 7, 8, 10] * 4):
+        passage = [f"p{n}w{i}" for i in range(60)]
+        edited = ["changed" if i % every == every - 1 else w for i, w in enumerate(passage)]
+        texts |= {2 * n: f"{prose(rng, 80)} {' '.join(passage)} {prose(rng, 80)}", 2 * n + 1: f"{prose(rng, 80)} {' '.join(edited)} {prose(rng, 80)}"}
+        want.add((2 * n + 1, 2 * n))
+    rows = substring.repeated_passages(make(spark, texts.items())).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in rows} == want
+
+
 def test_substring_long_seeds_cover_every_window():
     rng = np.random.default_rng(14)
     words = rng.integers(0, 2**63, 40).astype(np.uint64)[rng.integers(0, 3, 400)]
