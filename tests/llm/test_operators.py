@@ -225,6 +225,17 @@ def test_license_rows(spark):
     assert "cc-by-nc" in rows[3].labels.split(",") and rows[3].base_labels == ""
 
 
+def test_licenses_wrapped_over_lines(spark):
+    wrapped = {
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions",
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided",
+        "gpl": "you can redistribute it and/or modify\nit under the terms of the GNU General\nPublic\nLicense",
+    }
+    rows = licenses.license_scan(make(spark, enumerate(f"{'some words before ' * n}\n{t}\n{'and after ' * 50}" for n in (0, 10, 17, 40) for t in wrapped.values()))).collect()
+    assert all(list(wrapped)[r.doc_id % 4] in r.labels.split(",") and r.score == 1.0 for r in rows)
+
+
 def test_fingerprint_rows(spark):
     rng = np.random.default_rng(2)
     texts = {i * 3: prose(rng, int(rng.integers(0, 400))) for i in range(60)}

@@ -3,7 +3,9 @@
 Template tokens are ordered by their frequency in the whole corpus, rarest first. A block can hold enough of a
 template only if it has a token of the template's prefix (all but the last needed ones); candidates then pass a length
 filter and a positional filter, which bounds what the rest of both can still share, before the exact count.
-Blocks are the lines of a text; of a longer line, every window of WINDOW words, STEP apart.
+Blocks are the lines of a text; of a longer line, every window of WINDOW words, STEP apart. A template that is wrapped
+over lines counts where a stretch of the whole text, as long as the template and 1 / threshold of that at most, holds
+enough of it: in wider windows, words of unrelated lines would add up to a short template.
 
 The templates are a fixed short list, so each task holds them and no text is shuffled; the only thing gathered is one
 count for each template token.
@@ -71,11 +73,12 @@ class Matcher:
 
     def __init__(self, templates: list[tuple[str, str]], counts: dict[str, int], threshold: float):
         self.order: dict[bytes, tuple[int, str]] = {t.encode(): (counts.get(t, 0), t) for _, words in templates for t in words.split()}
-        self.templates, self.by_prefix = [], {}
+        self.templates, self.stretch, self.by_prefix = [], [], {}
         for n, (label, words) in enumerate(templates):
             tokens = sorted({w.encode() for w in words.split()}, key=self.order.__getitem__)
             need = ceil(threshold * len(tokens) - 1e-9)
             self.templates.append((label, tokens, need))
+            self.stretch.append(ceil(len(words.split()) / threshold - 1e-9))
             for i, token in enumerate(tokens[: len(tokens) - need + 1]):
                 self.by_prefix.setdefault(token, []).append((n, i))
         self.prefix = frozenset(self.by_prefix)
@@ -95,6 +98,29 @@ class Matcher:
                     if shared >= need:
                         yield label, shared / len(tokens)
 
+    def wrapped(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
+        """Templates of which a stretch of the words, whatever the line ends, holds enough."""
+        places: dict[bytes, list[int]] = {}
+        for at, word in enumerate(words):
+            if word in self.order:
+                places.setdefault(word, []).append(at)
+        for (label, tokens, need), size in zip(self.templates, self.stretch, strict=True):
+            if sum(t in places for t in tokens) < need:
+                continue
+            inside, most, left = Counter(), 0, 0
+            hits = sorted((at, t) for t in tokens for at in places.get(t, ()))
+            for at, token in hits:
+                inside[token] += 1
+                while at - hits[left][0] >= size:
+                    gone = hits[left][1]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                    left += 1
+                most = max(most, len(inside))
+            if most >= need:
+                yield label, most / len(tokens)
+
 
 def token_counts(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]:
     """How often each template token occurs in all texts."""
@@ -129,7 +155,7 @@ def phrases(words: list[bytes], base: dict) -> list[tuple[int, str]]:
 def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, base=None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs(doc_id, text, ...).
 
-    score: 1 with a base phrase, else the largest share of a template found in a block, 0 without any. Null and empty
+    score: 1 with a base phrase, else the largest share of a template found in a block or a stretch over lines, 0 without any. Null and empty
     texts have no words and empty labels; repeated rows each give a row; a null doc_id stays null; an empty table gives
     an empty result; further columns are not read.
     """
@@ -147,12 +173,14 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
                     found = [] if last_words.isdisjoint(words) else phrases(words, base)
                     score, labels = float(bool(found)), {label for _, label in found}
                     if not matcher.prefix.isdisjoint(words):
+                        shares = list(matcher.wrapped(words)) if b"\n" in text else []
                         for line in text.split(b"\n"):
                             for block in blocks(line.split()):
                                 if not matcher.prefix.isdisjoint(block):
-                                    for label, share in matcher.find(block):
-                                        labels.add(label)
-                                        score = max(score, share)
+                                    shares += matcher.find(block)
+                        for label, share in shares:
+                            labels.add(label)
+                            score = max(score, share)
                     starts = [i for i, _ in found]
                     rows.append((len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found})), ",".join(sorted(labels)), score))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
