@@ -15,6 +15,12 @@ def test_equals_sql(spark, con, name):
     same(workload.QUERIES[name](spark, SF), workload.SQL[name], con)
 
 
+def test_snippets_of_every_hit(spark):
+    for name in ("snippet_window", "snippet_sentence"):
+        rows, best = (workload.QUERIES[n](spark, SF).collect() for n in (f"{name}_all", name))
+        assert len(rows) > 60 and set(best) <= set(rows)
+
+
 def test_entry_and_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     rows = entry.entry(spark).collect()

@@ -118,18 +118,20 @@ def diversified(scored: DataFrame, window: int = DEFAULT.diversity_window, per_h
     return out.withColumn("place", F.row_number().over(Window.orderBy("bucket", "rn"))).drop("_hn", "_kr")
 
 
-def snippets(docs: DataFrame, terms: list[str], config: RankingConfig = DEFAULT) -> DataFrame:
+def snippets(docs: DataFrame, terms: list[str], config: RankingConfig = DEFAULT, bodies: DataFrame | None = None) -> DataFrame:
     """doc_id, off, snippet_score, snippet of docs(doc_id, body): the densest window of characters that begins at a hit.
 
     A window scores three for each distinct term and one for each hit, less a penalty in the first characters, where
-    navigation stands; the earliest of equal windows wins. Meant for the few documents of a result list.
+    navigation stands; the earliest of equal windows wins. Meant for the few documents of a result list;
+    for many, bodies(doc_id, body), a row for each doc_id, is joined at the end, so that no piece carries its text.
     """
-    pieces = docs.select("doc_id", "body", F.posexplode(F.regexp_extract_all("body", F.lit(tx.PIECE), 0)).alias("n", "piece"))
+    pieces = docs.select("doc_id", *(["body"] if bodies is None else []), F.posexplode(F.regexp_extract_all("body", F.lit(tx.PIECE), 0)).alias("n", "piece"))
     before = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     hits = pieces.withColumn("off", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0))).withColumn("term", F.lower("piece")).where(F.col("term").isin(*set(terms)))
     ahead = Window.partitionBy("doc_id").orderBy("off").rangeBetween(0, config.snippet_chars - 1)
     score = 3 * F.size(F.collect_set("term").over(ahead)) + F.count("*").over(ahead) - F.when(F.col("off") < config.nav_chars, config.nav_penalty).otherwise(0)
     best = hits.withColumn("snippet_score", score).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("snippet_score"), "off"))).where("_n = 1")
+    best = best if bodies is None else best.join(bodies.select("doc_id", "body"), "doc_id")
     return best.select("doc_id", "off", F.col("snippet_score").cast("long").alias("snippet_score"), F.substring("body", F.col("off").cast("int") + 1, F.lit(config.snippet_chars)).alias("snippet"))
 
 

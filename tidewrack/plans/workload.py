@@ -520,6 +520,25 @@ def snippet_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.sentence_snippets(_top60(spark, sf_dir), list(TERMS)).select("doc_id", "n", "snippet_score", F.md5("snippet").alias("snippet_md5"))
 
 
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.docs(spark, sf_dir).join(vsm_cosine(spark, sf_dir), "doc_id", "left_semi").select("doc_id", "body")
+
+
+def _every(sql: str) -> str:
+    """A snippet query's SQL over every document with a hit, not the best 60."""
+    return sql.replace(" ORDER BY round(sim, 6) DESC, doc_id LIMIT 60", "")
+
+
+@query("snippet_window_all", _every(SQL["snippet_window"]))
+def snippet_window_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.snippets(_hits(spark, sf_dir), list(TERMS), bodies=b.docs(spark, sf_dir)).select("doc_id", "off", "snippet_score", F.md5("snippet").alias("snippet_md5"))
+
+
+@query("snippet_sentence_all", _every(SQL["snippet_sentence"]))
+def snippet_sentence_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.sentence_snippets(_hits(spark, sf_dir), list(TERMS)).select("doc_id", "n", "snippet_score", F.md5("snippet").alias("snippet_md5"))
+
+
 @query("highlight", rf"WITH {D} SELECT doc_id, md5(regexp_replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)(license|under|the)', '<mark>\1</mark>', 'g')) AS title_md5 FROM d")
 def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.docs(spark, sf_dir).select("doc_id", F.md5(tx.highlighted(F.col("title"), list(TERMS))).alias("title_md5"))
