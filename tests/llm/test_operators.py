@@ -102,7 +102,7 @@ def test_word_spans_and_hashes(texts):
 
 def test_components(spark):
     rng = np.random.default_rng(1)
-    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000)]
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, 2000)] + [(3000 + i * 7 % 1500, 3700) for i in range(1, 1500)]
     parent = {v: v for e in edges for v in e}
 
     def root(v):
@@ -145,6 +145,23 @@ def test_bpe_long_words_special_tokens_and_full_memory(monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def thue_morse(n):
+    """Two words of the letters a and b that polynomial hashes modulo 2^64 can't tell apart from n = 1,024 on."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return [word, word.translate(str.maketrans("ab", "ba"))]
+
+
+def test_bpe_tells_words_apart_whatever_their_hashes(monkeypatch):
+    texts = [w for n in (1024, 2048, 4096) for w in thue_morse(n)] + ["the quick brown fox", "pack my box with five dozen jugs", "fox box pox five dozen"]
+    plain = bpe.byte_sums
+    for bits in (2**64 - 1, 3):
+        monkeypatch.setattr(bpe, "byte_sums", lambda *a, bits=bits: plain(*a) & np.uint64(bits))
+        model = bpe.BatchedBPE(PATH)
+        for _ in range(2):
+            for text, ids in zip(texts, model.encode_column(pa.array(texts)), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
 def test_op1_rows(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = QUERIES["op1_bpe"](spark, SF).collect()
@@ -305,6 +322,7 @@ def test_near_dedup_equals_brute_force(spark):
     for i in range(2000, 2060):
         texts[i] = prose(rng, int(rng.integers(0, 9)))
     texts |= {3000: texts[5], 3001: texts[5].upper(), 3002: None, 3003: " "}
+    texts |= {4000 + i: w for i, w in enumerate([*thue_morse(1024), *thue_morse(4096)])}
     want = brute_components(texts, 4, 80)
     for block in (16, 512):
         rows = minhash.near_dedup(make(spark, texts.items()).repartition(4), k=4, block=block).collect()

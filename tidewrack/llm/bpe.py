@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrack.llm.common import chunks, documents, mix, powers, text_buffer
+from tidewrack.llm.common import byte_sums, chunks, documents, mix, text_buffer
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text whose words are encoded together.
@@ -86,6 +86,28 @@ def word_starts(points: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Spans:
+    """Numbered runs of values in one array that grows."""
+
+    def __init__(self, kind: type):
+        self.at, self.n, self.values, self.end = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, kind), 0
+
+    def insert(self, where: np.ndarray, values: np.ndarray, n: np.ndarray) -> None:
+        end = self.end + len(values)
+        if end > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros(end, self.values.dtype)])
+        self.values[self.end : end] = values
+        self.at = np.insert(self.at, where, self.end + np.cumsum(n) - n)
+        self.n = np.insert(self.n, where, n)
+        self.end = end
+
+
 class BatchedBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -111,22 +133,17 @@ class BatchedBPE:
 
     def forget(self) -> None:
         """Drops the words remembered from chunk to chunk: sorted hashes, each with its place in the ids."""
-        self.known, self.known_at, self.known_n = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.known_ids, self.known_end = np.zeros(1 << 16, np.int32), 0
+        self.known = np.zeros(0, np.uint64)
+        self.words, self.ids = Spans(np.uint8), Spans(np.int32)
 
-    def remember(self, hashes: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
-        """hashes: sorted, none of them known."""
+    def remember(self, hashes: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> None:
+        """hashes: sorted, none of them known; words: their bytes, one word after the other."""
         if len(self.known) + len(hashes) > CACHE_WORDS:
             self.forget()
-        end = self.known_end + len(ids)
-        if end > len(self.known_ids):
-            self.known_ids = np.concatenate([self.known_ids, np.zeros(end, np.int32)])
-        self.known_ids[self.known_end : end] = ids
         at = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, at, hashes)
-        self.known_at = np.insert(self.known_at, at, self.known_end + np.cumsum(n) - n)
-        self.known_n = np.insert(self.known_n, at, n)
-        self.known_end = end
+        self.words.insert(at, words, sizes)
+        self.ids.insert(at, *self.merge(words, sizes))
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * self.size + right
@@ -188,12 +205,9 @@ class BatchedBPE:
             lead = np.flatnonzero((part & 0xC0) != 0x80)
             starts = lead[word_starts(points, np.searchsorted(lead, first))]
         lengths = np.diff(np.append(starts, len(part)))
-        place = np.arange(len(part), dtype=np.int32) - np.repeat(starts.astype(np.int32), lengths)
-        value = powers(int(lengths.max()))[place]
-        value *= part.astype(np.uint64) + np.uint64(1)
-        hashes = np.add.reduceat(value, starts)
-        hashes += lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        hashes = mix(hashes)
+        place = np.arange(len(part)) - np.repeat(starts, lengths)
+        hashes = byte_sums(part.astype(np.uint16) + np.uint16(1), place, starts)
+        hashes = mix(hashes + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         order = np.argsort(hashes)
         hashes = hashes[order]
         new = np.ones(len(hashes), bool)
@@ -204,23 +218,32 @@ class BatchedBPE:
         at = np.searchsorted(self.known, hashes)
         known = at < len(self.known)
         known[known] = self.known[at[known]] == hashes[known]
-        which = which[~known]
-        if len(which):
-            start, size = starts[which], lengths[which]
-            ends = np.cumsum(size)
-            self.remember(hashes[~known], *self.merge(part[np.repeat(start - ends + size, size) + np.arange(ends[-1])], size))
-            at = np.searchsorted(self.known, hashes)
-            if not (at < len(self.known)).all() or (self.known[at] != hashes).any():  # the memory was full
-                which = order[new]
-                start, size = starts[which], lengths[which]
-                ends = np.cumsum(size)
+        if not known.all():
+            fresh = which[~known]
+            before = len(self.known)
+            self.remember(hashes[~known], part[spread(starts[fresh], lengths[fresh])], lengths[fresh])
+            if len(self.known) != before + len(fresh) and known.any():  # the memory was full
                 self.forget()
-                self.remember(hashes, *self.merge(part[np.repeat(start - ends + size, size) + np.arange(ends[-1])], size))
-                at = np.arange(len(hashes))
-        counts, place = self.known_n[at][back].astype(np.int64), self.known_at[at][back]
+                self.remember(hashes, part[spread(starts[which], lengths[which])], lengths[which])
+            at = np.searchsorted(self.known, hashes)
+        mine = at[back]
+        counts = self.ids.n[mine]
+        other = self.words.n[mine] != lengths  # equal hashes prove nothing: each word is held against the remembered one
+        same = np.flatnonzero(~other)
+        differ = self.words.values[spread(self.words.at[mine[same]], lengths[same])] != (part if len(same) == len(mine) else part[spread(starts[same], lengths[same])])
+        if differ.any():
+            heads = np.cumsum(lengths[same]) - lengths[same]
+            other[same] |= np.logical_or.reduceat(differ, heads)
+        ids = self.ids.values[spread(self.ids.at[mine], counts)]
+        if other.any():
+            odd = np.flatnonzero(other)
+            found, n = self.merge(part[spread(starts[odd], lengths[odd])], lengths[odd])
+            source = self.ids.at[mine]
+            source[odd] = len(self.ids.values) + np.cumsum(n) - n
+            counts[odd] = n
+            ids = np.concatenate([self.ids.values, found])[spread(source, counts)]
         total = np.cumsum(counts)
-        out = self.known_ids[np.repeat(place - total + counts, counts) + np.arange(total[-1])]
-        return out.astype(np.uint32), np.concatenate([[0], total])[np.searchsorted(starts, off - base)]
+        return ids.astype(np.uint32), np.concatenate([[0], total])[np.searchsorted(starts, off - base)]
 
     def encode_column(self, column: pa.Array) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; a special token's string in a text is that token. A null has none."""

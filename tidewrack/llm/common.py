@@ -23,7 +23,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes outside of words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ once A-Z are lowered.
 SIGNS = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
-_BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,17 +50,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS = np.zeros(0, _U)
+def byte_sums(values: np.ndarray, place: np.ndarray, starts: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each run of `values` from one start to the next: the sum of a pseudo-random number for each (place in the run, value).
 
-
-def powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        out = np.full(max(n, 64, 2 * len(_POWERS)), _BASE, _U)
-        out[0] = 1
-        with np.errstate(over="ignore"):
-            _POWERS = np.multiply.accumulate(out)
-    return _POWERS
+    A value of 0 adds nothing. Unlike a polynomial modulo 2^64, no texts are known that such a sum can't tell apart.
+    """
+    one = values.astype(_U)
+    one *= _U(0xD6E8FEB86659FD93)
+    one += place.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(seed * 0xA24BAED4963EE407 % 2**64)
+    mix(one)
+    one *= values != 0
+    return np.add.reduceat(one, starts)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,25 +109,21 @@ def word_spans(data: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE) -> t
     return starts + base, ends + base, np.searchsorted(starts, off - base)
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of rows, A-Z lowered, and per row the number of its first word."""
+def word_hashes(data: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of rows, A-Z lowered, and per row the number of its first word; another seed gives unrelated hashes."""
     starts, ends, rows = word_spans(data, off, gap)
     if not len(starts):
         return np.zeros(0, _U), rows
-    base = off[0]
-    part = data[base : off[-1]]
-    lengths = ends - starts
-    place = np.arange(len(part), dtype=np.int64)
-    owner = np.repeat(starts - base, np.diff(np.append(starts - base, len(part))))
-    lead = int(starts[0] - base)
-    place[lead:] -= owner
-    inside = ~gap[part]
-    place[:lead] = 0
-    place *= inside
-    value = powers(int(lengths.max()) + 1)[place]
-    value *= np.where(inside, _LOWER[part].astype(_U) + _U(1), _U(0))
-    out = np.add.reduceat(value, starts - base)
-    out += lengths.astype(_U) * _U(0xD6E8FEB86659FD93)
+    out = np.empty(len(starts), _U)
+    for i, j in chunks(np.append(starts, off[-1])):  # so that a very long text needs no more memory than a short one
+        begins = starts[i:j] - starts[i]
+        part = data[int(starts[i]) : int(ends[j - 1])]
+        place = np.arange(len(part), dtype=np.int64)
+        place -= np.repeat(begins, np.diff(np.append(begins, len(part))))
+        values = _LOWER[part].astype(np.uint16) + np.uint16(1)
+        values[gap[part]] = 0
+        out[i:j] = byte_sums(values, place, begins, seed)
+    out += (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93)
     return mix(out), rows
 
 
@@ -152,39 +147,45 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 # --- connected components ------------------------------------------------------------------------------
 
 
-#: From so many edges on, a round's minima are written before they are joined: Spark can then split a vertex with very many edges.
-SPLIT_EDGES = 200_000
+#: Parts into which the edges of each vertex are dealt before they meet what is known of it.
+SALTS = 1024
+
 
+def with_minimum(edges: DataFrame) -> DataFrame:
+    """u, v, m: each edge with the smallest of its u's neighbours.
 
-def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+    A vertex of very many edges never lies in one task: its edges are dealt into parts by v, each part leaves one
+    minimum, and the minimum of these goes back to the parts that there are, one row to each.
+    """
+    dealt = edges.withColumn("s", F.expr(f"pmod(xxhash64(v), {SALTS})").cast("int"))
+    parts = dealt.groupBy("u", "s").agg(F.min("v").alias("m"))
+    low = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("s").alias("s")).select("u", "m", F.explode("s").alias("s"))
+    return dealt.join(low, ["u", "s"]).select("u", "v", "m")
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Smallest id reachable from each id: (id, component) for every id in edges(a, b), self-edges included.
 
-    Alternating large-star and small-star steps: each is a grouped minimum and a join, nothing is gathered on the
-    driver, and every round is written to the shared folder. Empty edges give an empty result.
+    Alternating large-star and small-star steps until nothing changes: each is a grouped minimum and a join, nothing is
+    gathered on the driver, and every round is written to the shared folder. An edge with a null is no edge; repeated
+    edges count once; empty edges give an empty result.
     """
-    pair = lambda a, b: (a.alias("u"), b.alias("v"))
-    e = scratch.table(edges.where("a is not null and b is not null").select(*pair(F.greatest("a", "b"), F.least("a", "b"))).distinct())
-    mark = lambda t: tuple(t.where("u <> v").agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
+    pair = lambda a, b: (F.col(a).alias("u"), F.col(b).alias("v"))
+    e = scratch.table(edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    mark = lambda t: tuple(t.where("u <> v").agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first())
     seen = mark(e)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
-        held = scratch.table if seen[0] >= SPLIT_EDGES else lambda t: t
+    while seen[0]:
         both = e.where("u <> v")
-        both = both.unionByName(both.select(*pair(F.col("v"), F.col("u"))))
-        low = held(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(low, "u").where("v > u").select(*pair(F.col("v"), F.col("m"))).distinct()
-        large = held(large)
-        low = held(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").where("v <> m").select(*pair(F.col("v"), F.col("m")))
-        roots = e.where("u = v")
-        done = scratch.table(small.unionByName(low.select(*pair(F.col("u"), F.col("m")))).unionByName(roots).distinct())
+        both = both.unionByName(both.select(*pair("v", "u")))
+        large = scratch.table(with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        small = with_minimum(large)
+        small = small.select(F.explode(F.expr("array(struct(u, m as v), struct(v as u, m as v))")).alias("x")).select("x.u", "x.v").where("u <> v")
+        done = scratch.table(small.unionByName(e.where("u = v")).distinct())
         now = mark(done)
+        scratch.drop(large)
         scratch.drop(e)
         e = done
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))
+    return e.select(F.explode(F.expr("array(struct(u as id, v as component), struct(v as id, v as component))")).alias("x")).select("x.*").groupBy("id").agg(F.min("component").alias("component"))

@@ -1,6 +1,6 @@
 """MinHash near-dedup: circulant signatures, banding, and exact Jaccard verification on full shingle sets.
 
-Signatures. A first permutation (the shingle's mixed hash) scatters shingles over a universe of 2^20 places; a second
+Signatures. A first permutation (the shingle's mixed hash) scatters shingles over a universe of 2^22 places; a second
 one ranks the places, and shifting it circularly by k gives coordinate k. Place p therefore contributes a contiguous
 window of the second permutation to all coordinates at once.
 
@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 from tidewrack.llm.common import Scratch, chunks, components, documents, free_name, mix, shingle_hashes, text_buffer, word_hashes
 
 BANDS, ROWS = 32, 5
-UNIVERSE_BITS = 20
+UNIVERSE_BITS = 22
 SEED = 20240607
 #: Classes in a block; a task compares two blocks.
 BLOCK = 512
 PERCENT = 80
+#: Of the hashes that links are confirmed by: unrelated to those that make candidates, so no collision gives both.
+CHECK_SEED = 1
 
 
 @cache
@@ -56,11 +58,11 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(keys + mix(np.arange(1, bands + 1, dtype=np.uint64))).view(np.int64)
 
 
-def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; empty without words."""
+def sets_of(column: pa.Array, k: int, seed: int = 0) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; empty without words. Another seed gives unrelated hashes."""
     off, data = text_buffer(column)
     for i, j in chunks(off):
-        words, at = word_hashes(data, off[i : j + 1])
+        words, at = word_hashes(data, off[i : j + 1], seed=seed)
         shingles = shingle_hashes(words, k) if len(words) >= k else words
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             own = np.sort(shingles[a : b - k + 1] if b - a >= k else shingle_hashes(words[a:b], k))
@@ -72,16 +74,16 @@ def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n (distinct shingles), set_key (digest of the set), bands; the last two null without words."""
+    """doc_id, n (distinct shingles), set_key (digest of the set by two unrelated hashes, 128 bits for each shingle), bands; the last two null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
                 n, keys, found = [], [], []
-                for own in sets_of(part.column("text"), k):
-                    n.append(len(own))
-                    keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                for own, other in zip(sets_of(part.column("text"), k), sets_of(part.column("text"), k, CHECK_SEED), strict=True):
+                    n.append(max(len(own), len(other)))
+                    keys.append(hashlib.blake2b(own.tobytes() + other.tobytes(), digest_size=16).digest() if len(own) else None)
                     found.append(band_keys(signature(own, bands * rows), bands, rows) if len(own) else None)
                 yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n", "set_key", "bands"])
 
@@ -109,9 +111,9 @@ def verified(pairs: DataFrame, k: int, percent: int) -> DataFrame:
                 part = batch.slice(i, 1024)
                 a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
                 left, right = [], []
-                for n, own in enumerate(sets_of(part.column("a_text"), k)):
+                for n, own in enumerate(sets_of(part.column("a_text"), k, CHECK_SEED)):
                     if b[n] != last:
-                        last, held = b[n], next(sets_of(part.column("b_text").slice(n, 1), k))
+                        last, held = b[n], next(sets_of(part.column("b_text").slice(n, 1), k, CHECK_SEED))
                     if len(own) and linked(common(own, held), len(own), len(held), percent):
                         left.append(a[n])
                         right.append(b[n])
@@ -174,7 +176,7 @@ def block_links(members: DataFrame, texts: DataFrame, k: int, percent: int, bloc
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         block_of = table.column("block").to_numpy()
-        sets = list(sets_of(table.column("text").chunk(0), k))
+        sets = list(sets_of(table.column("text").chunk(0), k, CHECK_SEED))
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         found = merging_links(sets, table.column("component").to_pylist(), np.flatnonzero(block_of == lo), np.flatnonzero(block_of == hi), percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
