@@ -477,6 +477,75 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([r.predicted for r in hit]) > 0.85 and np.mean([truth[r.doc_id] for r in held if r.predicted]) > 0.9
 
 
+def plain_kneser_ney(counts, pairs, top=toxicity.TOP, low=toxicity.LOW):
+    """Probability of a word's spelling by dictionaries, from counts of words and, below `low`, pairs of the corpus."""
+    tables = {top: {}}
+    for w, c in counts.items():
+        s = b"\x01" + w + b"\x02"
+        for i in range(low - 1, len(s)):
+            g = s[max(0, i - top + 1) : i + 1]
+            tables[top][g] = tables[top].get(g, 0) + c
+    for n in range(top - 1, low - 1, -1):
+        tables[n] = {}
+        for g, c in tables[n + 1].items():
+            if len(g) == n + 1:
+                tables[n][g[1:]] = tables[n].get(g[1:], 0) + 1
+            else:
+                tables[n][g] = tables[n].get(g, 0) + c
+    less = {n: toxicity.discounts(np.array([c for g, c in t.items() if len(g) == n])) for n, t in tables.items()}
+
+    def p(word):
+        s, out = b"\x01" + word + b"\x02", 1.0
+        for i in range(1, len(s)):
+            row, column = pairs[s[i - 1]], (pairs > 0).sum(axis=0) + 1
+            base = column[s[i]] / column.sum()
+            q = (max(row[s[i]] - 0.75, 0) + 0.75 * (row > 0).sum() * base) / row.sum() if row.sum() else base
+            for n in range(low, min(top, i + 1) + 1):
+                g = s[i - n + 1 : i + 1]
+                own = {h: c for h, c in tables[n].items() if len(h) == n and h[:-1] == g[:-1]}
+                if own:
+                    d = {h: less[n][min(3, c)] for h, c in own.items()}
+                    q = (own.get(g, 0) - d.get(g, 0) + sum(d.values()) * q) / sum(own.values())
+            out *= q
+        return out
+
+    return p
+
+
+def test_kneser_ney_equals_dictionaries(spark):
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdeé"), int(rng.integers(1, 8)))).encode()
+    words = sorted({word() for _ in range(150)})
+    counts = np.array([rng.integers(0, 5, len(words)), rng.integers(0, 5, len(words))])
+    new = [word() for _ in range(40)]
+    corpus = spark.createDataFrame([(bytes(w), 1) for w in {*words, *new[:10]}], "word binary, n long")
+    pairs = toxicity.shared_pairs(corpus)
+    want = np.zeros((256, 256))
+    for w in {*words, *new[:10]}:
+        for a, b in zip(b"\x01" + w, w + b"\x02"):
+            want[a, b] += 1
+    assert (pairs == want).all()
+    flat = lambda ws: (np.frombuffer(b"".join(ws), np.uint8), np.array([len(w) for w in ws]))
+    often = rng.random(len(words))
+    models = toxicity.Models(*flat(words), counts, pairs, often)
+    spelled = models.spelled(*flat([*words, *new]))
+    for c in (0, 1):
+        p = plain_kneser_ney({w: int(n) for w, n in zip(words, counts[c], strict=True) if n}, pairs)
+        assert np.allclose(np.exp(spelled[c]), [p(w) for w in [*words, *new]], rtol=1e-6)
+    less = [toxicity.discounts(own) for own in counts]
+    known = lambda c, n: (counts[c][n] - less[c][min(3, counts[c][n])] + sum(less[c][min(3, k)] for k in counts[c]) * often[n]) / counts[c].sum()
+    off = np.cumsum([0, *map(len, words)])
+    hashes = word_hashes(flat(words)[0], off, np.zeros(256, bool))[0]
+    assert np.allclose(models.ratios(hashes, *flat(words))[1], [np.log(known(0, n) / known(1, n)) for n in range(len(words))], atol=1e-4)
+
+
+def test_toxicity_counts_copies_once(spark):
+    text = "One two three four five six, one two three four five seven"
+    rows = spark.createDataFrame([(1, 0, text), (1, 0, text.upper()), (1, 0, "zero " + text), (0, 0, "one")], "y int, fold int, text string")
+    got = {(bytes(r.word), r.y): r.n for r in toxicity.counted(rows).collect()}
+    assert got[b"six", 1] == 1 and got[b"five", 1] == 2 and got[b"seven", 1] == 1 and got[b"one", 1] == 3 and got[b"one", 0] == 1
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     x, first, y = rng.standard_normal((12, 3)).astype(np.float32), np.array([0, 4, 5, 12]), np.array([0, 1, 1], np.float32)

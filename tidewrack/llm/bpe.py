@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewrack.llm.common import byte_sums, chunks, documents, mix, text_buffer
+from tidewrack.llm.common import byte_sums, chunks, documents, mix, spread, text_buffer
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text whose words are encoded together.
@@ -86,12 +86,6 @@ def word_starts(points: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers from each start on, as many as its size, one run after the other."""
-    ends = np.cumsum(size)
-    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Spans:
     """Numbered runs of values in one array that grows."""
 

@@ -50,6 +50,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one run after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def byte_sums(values: np.ndarray, place: np.ndarray, starts: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hash of each run of `values` from one start to the next: the sum of a pseudo-random number for each (place in the run, value).
 
@@ -64,8 +70,8 @@ def byte_sums(values: np.ndarray, place: np.ndarray, starts: np.ndarray, seed: i
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets (one more than rows) and UTF-8 bytes of a string column; a null has no bytes."""
-    if pa.types.is_large_string(column.type):
+    """Offsets (one more than rows) and bytes of a string (UTF-8) or binary column; a null has no bytes."""
+    if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
         kind, size = np.int64, 8
     else:
         kind, size = np.int32, 4

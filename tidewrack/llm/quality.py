@@ -148,8 +148,11 @@ def bags(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
 
 
 def training_rows(labels: DataFrame, label: str, learn: Column, sample: int) -> DataFrame:
-    """doc_id, y: at most `sample` rows of each label among those to learn from, the ones whose doc_id hashes smallest."""
-    rows = labels.where(learn & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
+    """doc_id, y: at most `sample` rows of each label among those to learn from, the ones whose doc_id hashes smallest.
+
+    A doc_id that is labelled both 0 and 1 is not learned from.
+    """
+    rows = labels.where(learn & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).alias("other")).where("y = other").select("doc_id", "y")
     one = lambda y: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     return one(0).unionByName(one(1))
 
