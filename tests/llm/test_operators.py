@@ -407,6 +407,15 @@ def test_substring_passages_whose_parts_stand_in_earlier_documents(spark):
     assert {(r.doc_id, r.start_word, r.end_word, r.source_doc_id, r.source_start) for r in rows} == {(n + 4, 80, 140, n + 3, 80) for n in range(10, 110, 10)}
 
 
+def test_substring_passages_of_which_earlier_documents_have_small_pieces(spark):
+    rng = np.random.default_rng(16)
+    passage = prose(rng, 60).split()
+    texts = {10 + i: f"{prose(rng, 60)} {' '.join(passage[6 * i : 6 * i + 14])} {prose(rng, 60)}" for i in range(8)}
+    texts |= {i: f"{prose(rng, 100)} {' '.join(passage)} {prose(rng, 40)}" for i in (100, 200)}
+    rows = substring.repeated_passages(make(spark, texts.items())).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.source_doc_id) for r in rows} == {(200, 100, 160, 100)}
+
+
 def test_substring_passages_late_in_a_source_that_has_their_lines_before(spark):
     rng = np.random.default_rng(13)
     lines = [prose(rng, 9) for _ in range(7)]
