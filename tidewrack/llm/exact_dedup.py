@@ -1,9 +1,11 @@
 """Exact dedup: sorted digest runs merged up a tree, in built-in functions alone.
 
-Every input partition leaves one sorted run with a row per digest: its smallest identifier and its count. Rounds
-then merge `fan_in` runs at a time, each keeping the smallest identifier of a digest, until one run is left; the
-answers go back down the same tree. So a text that a third of all rows share never puts more than `fan_in` rows of
-a run on one key, and no task sees more than its share of the digests.
+Every input partition is a run: its digests in order, each with its smallest identifier and its count. Digests are cut
+into slices by their first bytes, so that many tasks merge at once. In each round groups of `fan_in` runs come
+together: the runs of a slice travel whole to one task, which merges them in the order of their digests and keeps the
+smallest identifier of each, until one run is left; the answers go back down the same tree. So a text that a third
+of all rows share never puts more than `fan_in` rows of a round on one key, and no task sees more than `fan_in` runs'
+part of a slice.
 
 A digest counts as verified only together with the byte length and a second, unrelated 64-bit hash of the text: all
 three are the key at every level.
@@ -31,6 +33,12 @@ def _keys(docs: DataFrame) -> DataFrame:
     )
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """Runs of rows(slice, run, key, best, n) merged: rows of a run lie in one task, in the order of their digests, and each digest leaves one."""
+    order = ["slice", "run", *KEY]
+    return rows.repartition("slice", "run").sortWithinPartitions(*order).groupBy(*order).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+
+
 def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs(doc_id, text, ...).
 
@@ -39,21 +47,22 @@ def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     repeat this doc_id one is kept. A null doc_id comes after all others; keep_id is null only if a whole group's is.
     An empty table gives an empty result; other columns are not read.
     """
-    scratch = Scratch(docs.sparkSession, "exact")
-    leaf = scratch.table(_keys(docs).select("*", F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("row")))
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "exact")
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    head = F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("int")
+    keys = _keys(docs).withColumn("slice", F.floor(head * slices / 65536).cast("int"))
+    leaf = scratch.table(keys.select("*", F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("row")))
     best = F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    level = leaf.groupBy("run", *KEY).agg(F.min(best).alias("best"), F.count("*").alias("n"))
     runs = int(leaf.agg(F.max("run")).first()[0] or 0) + 1
-    levels = [scratch.table(level.sortWithinPartitions("run", *KEY))]
+    levels = [scratch.table(merged(leaf.select("slice", "run", *KEY, best.alias("best"), F.lit(1).cast("long").alias("n"))))]
     while runs > 1:
-        level = levels[-1].withColumn("run", F.expr(f"run div {fan_in}").cast("int")).groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-        levels.append(scratch.table(level.sortWithinPartitions("run", *KEY)))
+        levels.append(scratch.table(merged(levels[-1].withColumn("run", F.expr(f"run div {fan_in}").cast("int")))))
         runs = -(-runs // fan_in)
     answer = levels[-1]
     for below in reversed(levels[:-1]):
         above = answer.withColumnRenamed("run", "above")
-        answer = below.select("run", *KEY, F.expr(f"run div {fan_in}").cast("int").alias("above")).join(above, ["above", *KEY]).select("run", *KEY, "best", "n")
-    return leaf.join(answer, ["run", *KEY]).select(
+        answer = below.select("slice", "run", *KEY, F.expr(f"run div {fan_in}").cast("int").alias("above")).join(above, ["slice", "above", *KEY]).select("slice", "run", *KEY, "best", "n")
+    return leaf.join(answer, ["slice", "run", *KEY]).select(
         "doc_id", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
