@@ -24,19 +24,23 @@ FRACTION = 1 / 8
 RANGE_ROWS = 1000
 
 
+def kept(shingles: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
+    """The sketch of a set of hashes: the distinct ones below the fraction, sorted; where there are none, the smallest."""
+    if not len(shingles):
+        return shingles
+    below = np.sort(shingles[shingles <= np.uint64(min(2**64 - 1, int(fraction * 2**64)))])
+    return below[np.concatenate([[True], below[1:] != below[:-1]])] if len(below) else shingles.min(keepdims=True)
+
+
 def sketches(column: pa.Array, k: int = K, fraction: float = FRACTION) -> Iterator[np.ndarray]:
     """Sorted hashes that each text keeps; none without words."""
     off, data = text_buffer(column)
-    limit = np.uint64(min(2**64 - 1, int(fraction * 2**64)))
     for i, j in chunks(off):
         words, at = word_hashes(data, off[i : j + 1])
         shingles = shingle_hashes(words, k) if len(words) >= k else words
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             own = shingles[a : b - k + 1] if b - a >= k else shingle_hashes(words[a:b], k)
-            if len(own):
-                kept = np.sort(own[own < limit])
-                own = kept[np.concatenate([[True], kept[1:] != kept[:-1]])] if len(kept) else own.min(keepdims=True)
-            yield own
+            yield kept(own, fraction)
 
 
 def fingerprint(sketch: np.ndarray) -> str:
@@ -64,9 +68,9 @@ def containment(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(a, b).mean()) if len(a) else 1.0
 
 
-def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The sketch of both documents together."""
-    return np.union1d(a, b)
+def merged(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION) -> np.ndarray:
+    """The sketch of both documents' shingles together."""
+    return kept(np.concatenate([a, b]), fraction)
 
 
 def fingerprints(docs: DataFrame, k: int = K, fraction: float = FRACTION) -> DataFrame:
