@@ -615,6 +615,35 @@ def test_html_on_marked_pages(spark):
         assert (r.text, r.n_chars) == (want, len(want))
 
 
+CLUTTER = (
+    '<div class="ad">Buy cheap shoes now at the shop. Click here.</div>', '<form action="/s"><label>Email</label><input><p>Subscribe to our newsletter.</p></form>',
+    '<div class="comments"><p>I do not agree with this at all, said one.</p></div>', '<div class="cookie notice">We use cookies, do you agree?</div>', "<aside><p>Related: ten more stories for you to read.</p></aside>",
+    '<section class="comments"><h3>Two comments</h3><div class="comment"><p>First!</p></div></section>', "<nav><ul><li><a href='/a'>Next page</a></li></ul></nav>", "<script>var x = '<p>no</p>';</script><style>p {}</style>",
+)
+
+
+def test_html_clutter_inside_articles(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    models, right = html_main.fit([r.html for r in pages]), []
+    for r in pages:
+        inside = [m.end() for m in re.finditer("</p>", r.html) if r.html.index("<article>") < m.end() < r.html.index("</article>")]
+        at = inside[len(inside) // 2] if inside else r.html.index("</article>")
+        odd = [r.html[:at] + x + r.html[at:] for x in ("", *CLUTTER, '<p>Before it. <span class="ad">Sponsored words here.</span> After it.</p>')]
+        plain, *others, line = html_main.main_texts(list(map(html_main.parse, odd)), models)
+        assert all(t == plain for t in others) or len(plain.split()) < 20  # of an article of a few words, nearly always
+        right += [t == plain for t in others]
+        assert sorted(line.split("\n")) == sorted([*plain.split("\n"), "Before it. After it."])
+    assert np.mean(right) > 0.99
+
+
+def test_html_without_marks_and_very_long(spark):
+    long = "".join(f"<p>Paragraph {i} has &eacute; and some words, which go on for a while.</p>" for i in range(30_000))
+    pages = [(1, "<html><head><title>x</title><p>Some text that is long enough to be read by all.<p>And more text, again and again."), (2, f"<body><nav><a href='/'>Home</a></nav><article>{long}</article><footer>end</footer>")]
+    rows = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame([(i, "u", t) for i, t in pages], "page_id long, url string, html string")).collect()}
+    assert rows[1] == "Some text that is long enough to be read by all.\nAnd more text, again and again."
+    assert rows[2] == "\n".join(f"Paragraph {i} has é and some words, which go on for a while." for i in range(30_000))
+
+
 def test_html_on_odd_pages(spark):
     odd = [(1, None), (2, ""), (3, "plain words"), (4, "<p>a<p>b<ul><li>x<li>y</ul>"), (5, "<" * 50), (6, '<div class="a>b" id=\'c\'>' + "text. " * 2000), (None, "<html><body><article><p>x &amp; y</article>"), (7, "<div>" * 3000), (8, "<script>never closed <p>x")]
     df = spark.createDataFrame([(i, None, t, "clash") for i, t in odd], "page_id long, url string, html string, text string")

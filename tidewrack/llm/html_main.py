@@ -1,13 +1,15 @@
 """HTML extraction: gradient-boosted trees over DOM nodes, decoded down the tree.
 
-Each page is parsed into its block elements. Two boosted models of symmetric trees look at every node: is all of its
+Each page is parsed into its block elements, and those inline ones whose class, id or role names what isn't main text
+(an advert within a line). Two boosted models of symmetric trees look at every node: is all of its
 text main text or none of it (keep), and does it hold both (mixed). Features are subtree text and link density, tags,
-tokens of class, id and role, depth, sibling statistics, and what stands above. Decoding takes the likeliest choice
+tokens of class, id and role, depth, sibling statistics, and what stands above and below. Decoding takes the likeliest choice
 for the whole tree in which a kept node has only kept, and a dropped one only dropped descendants.
 
 The tables have no labels for this, so the models learn from pages made here (seeded; many layouts, text of random
 words, every node's label known) and from at most SAMPLE pages of the table that mark their text themselves (one
-<article> or <main>): the other parts of these pages teach what the site's own surroundings look like.
+<article> or <main>): the other parts of these pages teach what the site's own surroundings look like. What stands
+in such an <article> under a name of adverts, comments, forms and the like isn't taken for main text there either.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most pages of the table, and pages made here, that the models learn from.
-SAMPLE, MADE = 150, 300
-TREES, DEPTH, RATE, BINS, SEED = 30, 4, 0.2, 32, 11
+SAMPLE, MADE = 150, 400
+TREES, DEPTH, RATE, BINS, SEED = 40, 4, 0.2, 32, 11
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -35,6 +37,8 @@ RAW = frozenset("script style".split())
 #: Elements whose text isn't a page's text.
 HIDDEN = frozenset("head title template noscript iframe object svg math button select option textarea datalist audio video canvas map".split())
 VOID = frozenset("hr br img input meta link area base col embed source track wbr".split())
+#: What can stand in a head; any other start ends it.
+HEAD = frozenset("base link meta noscript script style template title head html".split())
 #: A start of the first closes an open one of the others, up to the nearest of the last.
 _CLOSES = {"li": ("li", "ul ol menu dir"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
 _CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _CLOSES.items()}
@@ -45,8 +49,11 @@ TERMS = (
     "comment comments reply replies respond disqus discussion", "sidebar side widget related share social recommend tags", "cookie cookies consent notice alert popup modal newsletter subscribe gdpr", "footer foot copyright header masthead logo top bottom contentinfo", "form login search signup",
 )
 _TERMS = {t: n for n, group in enumerate(TERMS) for t in group.split()}
+#: Of TERMS those that name what isn't main text.
+CLUTTER = ((1 << len(TERMS)) - 1) & ~1
+ASIDE = frozenset("aside footer form nav".split())
 _PLAIN = 15
-FEATURES = _PLAIN + 3 * len(TAGS) + 3 * len(TERMS)
+FEATURES = _PLAIN + 4 * len(TAGS) + 4 * len(TERMS)
 
 
 @dataclass
@@ -55,36 +62,59 @@ class Page:
     parent: list[int] = field(default_factory=list)
     terms: list[int] = field(default_factory=list)  # bits
     inline: list[int] = field(default_factory=list)  # tags inside that are no nodes
+    block: list[int] = field(default_factory=list)  # the block a node belongs to: itself, or of an inline one its parent's
     runs: list[tuple[int, str, bool]] = field(default_factory=list)  # node, text, in a link; in page order
     breaks: set[int] = field(default_factory=set)  # numbers of runs before which a block begins or ends
 
 
+def boxed(page: Page) -> Page:
+    """Gives the text beside inline nodes a node of its own, so that a block can drop an advert within its text and keep the rest."""
+    beside: dict[int, int] = {b: -1 for n, b in enumerate(page.block) if b != n}
+    for k, (node, text, link) in enumerate(page.runs if beside else ()):
+        if node in beside:
+            if beside[node] < 0:
+                beside[node] = len(page.tag)
+                page.tag.append(page.tag[node])
+                page.parent.append(node)
+                page.terms.append(0)
+                page.inline.append(0)
+                page.block.append(node)
+            page.runs[k] = (beside[node], text, link)
+    return page
+
+
 def parse(source: str) -> Page:
     page = Page()
     stack: list[int] = []
     hidden: list[str] = []
     link, at = 0, 0
 
-    def open_(tag: str, attrs: str) -> None:
+    def named(attrs: str) -> int:
         bits = 0
         if attrs and "=" in attrs:
             for groups in _ATTR.findall(attrs):
                 for term in _TERM.findall("".join(groups).lower()):
                     if (n := _TERMS.get(term)) is not None:
                         bits |= 1 << n
+        return bits
+
+    def open_(tag: str, bits: int, is_block: bool = True) -> None:
+        node = len(page.tag)
         page.tag.append(tag)
         page.parent.append(stack[-1] if stack else -1)
         page.terms.append(bits)
         page.inline.append(0)
-        page.breaks.add(len(page.runs))
+        page.block.append(node if is_block else page.block[stack[-1]])
+        if is_block:
+            page.breaks.add(len(page.runs))
         if tag not in VOID:
-            stack.append(len(page.tag) - 1)
+            stack.append(node)
 
     def close(until: int) -> None:
         del stack[until:]
         page.breaks.add(len(page.runs))
 
-    open_("html", "")
+    open_("html", 0)
     while True:
         found = _TOKEN.search(source, at)
         text = source[at : found.start() if found else len(source)]
@@ -93,7 +123,7 @@ def parse(source: str) -> Page:
         elif text and not hidden:
             page.runs.append((stack[-1], " ", False))
         if not found:
-            return page
+            return boxed(page)
         at = found.end()
         shut, name, attrs = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
         if not name:
@@ -103,12 +133,15 @@ def parse(source: str) -> Page:
             if shut and name in hidden:
                 while hidden.pop() != name:
                     pass
+            elif not shut and name == "body" and hidden[0] == "head":
+                hidden.clear()
             elif not shut and name in HIDDEN and not attrs.endswith("/"):
                 hidden.append(name)
-            elif not shut and name == "body" and hidden[0] == "head":
+            elif not shut and hidden == ["head"] and name not in HEAD:
                 hidden.clear()
-                open_(name, attrs)
-            if name not in RAW or shut:
+            if hidden and (name not in RAW or shut):
+                continue
+            if shut:
                 continue
         if name in RAW:
             if not shut:
@@ -119,6 +152,15 @@ def parse(source: str) -> Page:
                 hidden.append(name)
         elif name not in BLOCKS:
             page.inline[stack[-1]] += not shut
+            if shut:
+                for i in range(len(stack) - 1, 0, -1):
+                    if page.block[stack[i]] == stack[i]:
+                        break
+                    if page.tag[stack[i]] == name:
+                        del stack[i:]
+                        break
+            elif not attrs.endswith("/") and (bits := named(attrs)) & CLUTTER:
+                open_(name, bits, False)
             if name == "a":
                 link = 0 if shut else 1
             elif name == "br":
@@ -130,6 +172,8 @@ def parse(source: str) -> Page:
                     break
         elif name != "html":
             link = 0
+            while page.block[stack[-1]] != stack[-1]:
+                stack.pop()
             if len(stack) > 1 and page.tag[stack[-1]] == "p":
                 close(len(stack) - 1)
             if name in _CLOSES:
@@ -140,7 +184,7 @@ def parse(source: str) -> Page:
                     if page.tag[stack[i]] in own:
                         close(i)
                         break
-            open_(name, attrs)
+            open_(name, named(attrs))
 
 
 def blocks(page: Page, kept: np.ndarray) -> list[str]:
@@ -148,10 +192,10 @@ def blocks(page: Page, kept: np.ndarray) -> list[str]:
     out, own = [], []
     last = -1
     for n, (node, text, _) in enumerate(page.runs):
-        if n in page.breaks or node != last:
+        if n in page.breaks or page.block[node] != last:
             if own:
                 out.append(" ".join("".join(own).split()))
-            own, last = [], node
+            own, last = [], page.block[node]
         if kept[node]:
             own.append(text)
     if own:
@@ -235,10 +279,13 @@ def features(pages: list[Page], forest: Forest | None = None) -> np.ndarray:
     for d, nodes in enumerate(forest.levels[1:], 1):
         depth[nodes] = d
         above[nodes] = np.maximum(above[parent[nodes]], both[parent[nodes]])
+    below = np.zeros_like(both)
+    for nodes in forest.levels[:0:-1]:
+        np.maximum.at(below, parent[nodes], np.maximum(below[nodes], both[nodes]))
     beside = np.where(child, np.maximum(children[up], 1), 1)
     mean = np.where(child, text[up] - own[up], text) / beside
     plain = np.stack([depth, np.log1p(own), np.log1p(text), linked / np.maximum(text, 1), np.log1p(text / tags), np.log1p(children), index / beside, np.log1p(beside), np.log1p(mean), dots / np.maximum(text, 1), np.log1p(text / np.maximum(runs, 1)), start / np.maximum(seen, 1), text / np.maximum(seen, 1), np.log1p(seen), np.where(child, text / np.maximum(text[up], 1), 1)], axis=1)
-    return np.concatenate([plain, both, both[up] * child[:, None], above], axis=1, dtype=np.float32)
+    return np.concatenate([plain, both, both[up] * child[:, None], above, below], axis=1, dtype=np.float32)
 
 
 class Boosted:
@@ -339,13 +386,19 @@ def made_page(rng: random.Random) -> str:
     ad = lambda: f'<div class="{rng.choice(["ad", "ads", "advert", "sponsored", "promo banner"])}">{rng.choice([sentence(), links(1, 4), para()])}</div>'
     share = lambda: f"<div{attrs('share', 'social', 'related', 'tags')}>{links(2, 5)}</div>"
     title = f"<h1>{words(2, 10)}</h1>" if rng.random() < 0.85 else ""
-    main = title + "".join(parts)
-    if rng.random() < 0.3:
-        cut = rng.randrange(len(parts) + 1)
-        main = title + "".join(parts[:cut]) + f"</x-main>{rng.choice([ad, share])()}<x-main>" + "".join(parts[cut:])
-    main = f"<x-main>{main}</x-main>"
-    tag, extra = rng.choice([("article", ""), ("article", ""), ("main", ""), ("div", attrs("content", "post", "entry", "article-body", "story", "main")), ("div", attrs("post-content", "text")), ("section", attrs("content", "article"))])
-    body = f"<{tag}{extra}>{main}" + (f"<section{attrs('comments', 'discussion', 'replies')}><h3>{words(1, 2)}</h3>" + "".join(f'<div class="comment"><p>{sentence()}</p></div>' for _ in range(rng.randint(1, 6))) + "</section>" if rng.random() < 0.2 else "") + f"</{tag}>"
+    form = lambda: f"<form{attrs('newsletter', 'login', 'signup', 'search')}>{rng.choice([f'<p>{sentence()}</p>', f'<label>{words(1, 2)}</label>', ''])}<input>{rng.choice(['<button>Go</button>', words(1, 6), para()])}</form>"
+    comments = lambda: f"<div{attrs('comments', 'replies')}><div class=\"comment\">{para()}</div></div>"
+    notice = lambda: f'<div class="{rng.choice(["cookie", "notice", "alert", "newsletter"])}">{rng.choice([sentence(), para()])}</div>'
+    aside = lambda: f"<aside{attrs('related', 'sidebar', 'widget')}>{rng.choice([para(), links(2, 5)])}</aside>"
+    spot = lambda: f'<p>{sentence()} </x-main><{(t := rng.choice(["span", "a", "em"]))} class="{rng.choice(["ad", "sponsored", "promo", "share"])}">{rng.choice([words(1, 5), sentence()])}</{t}><x-main> {sentence()}</p>'
+    for make, chance in ((ad, 0.3), (share, 0.15), (form, 0.25), (comments, 0.1), (notice, 0.15), (aside, 0.15), (lambda: f"<nav>{links(1, 5)}</nav>", 0.15)):
+        if rng.random() < chance:
+            parts.insert(rng.randrange(len(parts) + 1), f"</x-main>{make()}<x-main>")
+    if rng.random() < 0.35:
+        parts.insert(rng.randrange(len(parts) + 1), spot())
+    main = f"<x-main>{title}{''.join(parts)}</x-main>"
+    tag, extra = rng.choice([("article", ""), ("article", ""), ("main", ""), ("div", attrs("content", "post", "entry", "article-body", "story", "main")), ("div", attrs("post-content", "text")), ("section", attrs("content", "article")), ("", "")])
+    body = (f"<{tag}{extra}>" if tag else "") + main + (f"<section{attrs('comments', 'discussion', 'replies')}><h3>{words(1, 2)}</h3>" + "".join(f'<div class="comment"><p>{sentence()}</p></div>' for _ in range(rng.randint(1, 6))) + "</section>" if rng.random() < 0.2 else "") + (f"</{tag}>" if tag else "")
     before, after = [], []
     nav = lambda: rng.choice([f"<nav>{links(3, 9)}</nav>", f"<div{attrs('nav', 'menu', 'navbar')}>{links(3, 9)}</div>", f'<nav class="breadcrumb"><a href="/">{word()}</a> &gt; <a href="/x">{word()}</a></nav>'])
     for chance, make in ((0.4, lambda: f"<header>{rng.choice(['', f'<h2>{words(1, 4)}</h2>'])}<p>{words(2, 8)}</p></header>"), (0.8, nav), (0.25, lambda: f"<div{attrs('cookie', 'notice', 'consent', 'alert')}><p>{sentence()}</p><button>OK</button></div>"), (0.4, ad), (0.15, lambda: f'<form action="/s"><label>{word()}</label><input></form>')):
@@ -354,6 +407,8 @@ def made_page(rng: random.Random) -> str:
     for chance, make in ((0.3, lambda: f"<section{attrs('comments', 'replies')}>" + "".join(f"<div{attrs('comment', 'reply')}><p>{' '.join(sentence() for _ in range(rng.randint(1, 3)))}</p></div>" for _ in range(rng.randint(1, 8))) + "</section>"), (0.35, lambda: f"<aside{attrs('sidebar', 'widget')}><h3>{words(1, 3)}</h3>{rng.choice([links(2, 8), para()])}</aside>"), (0.25, share), (0.25, ad), (0.15, lambda: f"<form{attrs('newsletter', 'login', 'signup')}><p>{sentence()}</p><input></form>"), (0.85, lambda: f"<footer>&copy; {word()}.example &middot; {sentence()}{rng.choice(['', links(2, 5)])}</footer>")):
         if rng.random() < chance:
             after.append(make())
+    if rng.random() < 0.1:
+        before, after = [], []
     inner = "".join([*before, body, *after])
     if rng.random() < 0.3:
         inner = f"<div{attrs('page', 'wrap', 'container')}>{inner}</div>"
@@ -363,14 +418,17 @@ def made_page(rng: random.Random) -> str:
 _MARK, _INSIDE = re.compile(r"(</?x-main>)"), "\ue000"
 
 
-def labelled(marked: str) -> tuple[Page, np.ndarray, np.ndarray]:
-    """The page without its marks; characters of main text and of all text below each node."""
+def labelled(marked: str, made: bool) -> tuple[Page, np.ndarray, np.ndarray]:
+    """The page without its marks; characters of main text and of all text below each node.
+
+    Of pages that were not made here, what stands under a name of clutter in an <article> or <main> isn't main text.
+    """
     on, plain = False, []
     for part in _MARK.split(marked):
         if part in ("<x-main>", "</x-main>"):
             on = part == "<x-main>"
         else:
-            plain.append(re.sub(r">([^<]*[^<\s])", ">" + _INSIDE + r"\1", part) if on else part)
+            plain.append(re.sub(r"(^|>)([^<]*[^<\s])", r"\1" + _INSIDE + r"\2", part) if on else part)
     page = parse("".join(plain))
     main, total = np.zeros(len(page.tag)), np.zeros(len(page.tag))
     for n, (node, text, link) in enumerate(page.runs):
@@ -379,6 +437,13 @@ def labelled(marked: str) -> tuple[Page, np.ndarray, np.ndarray]:
         total[node] += size
         main[node] += size if len(bare) < len(text) else 0
         page.runs[n] = (node, bare, link)
+    if not made:
+        within, clutter = [False] * len(page.tag), [False] * len(page.tag)
+        for i in range(1, len(page.tag)):
+            up = page.parent[i]
+            within[i] = within[up] or page.tag[up] in ("article", "main")
+            clutter[i] = clutter[up] or within[i] and (bool(page.terms[i] & CLUTTER) or page.tag[i] in ASIDE)
+        main[np.array(clutter)] = 0
     for i in range(len(page.tag) - 1, 0, -1):
         main[page.parent[i]] += main[i]
         total[page.parent[i]] += total[i]
@@ -398,8 +463,8 @@ def self_marked(source: str) -> str | None:
 def fit(sources: list[str], made: int = MADE, seed: int = SEED) -> tuple[Boosted, Boosted]:
     """The models (keep, mixed)."""
     rng = random.Random(seed)
-    marked = [made_page(rng) for _ in range(made)] + [m for s in sources if (m := self_marked(s))]
-    pages, main, total = zip(*map(labelled, marked), strict=True)
+    own = [labelled(made_page(rng), True) for _ in range(made)]
+    pages, main, total = zip(*own, *(labelled(m, False) for s in sources if (m := self_marked(s))), strict=True)
     main, total = np.concatenate(main), np.concatenate(total)
     x, share = features(list(pages))[total > 0], main[total > 0] / total[total > 0]
     pure = (share == 0) | (share == 1)
