@@ -176,3 +176,31 @@ def test_page_reader():
     title, text, links = read_page('<title>T</title><script>x</script><p>a<b>b<a href="/l">go <i>on</i></a>')
     assert title == "T" and "x" not in text and links == [("/l", "go on")]
     assert read_page(None) == ("", "", [])
+
+
+def test_chinese_by_default(docs):
+    rows = search(docs, "信息").collect()
+    assert [r.doc_id for r in rows] == [3] and "<mark>信息</mark>" in rows[0].snippet
+    late = docs.where("doc_id = 3").select("doc_id", F.concat(F.repeat(F.lit("其他内容。"), 60), F.lit("选课办法见通知。")).alias("body"))
+    got = rank.snippets(late, words("选课")).first()
+    assert got.off == 300 and got.snippet.startswith("选课办法")
+
+
+def test_stored_index_answers_like_a_built_one(spark, docs, tmp_path):
+    index.store_index(docs, FIELDS, str(tmp_path / "ix"), ("smooth", "ltc"))
+    for mode in ("smooth", "ltc"):
+        stored, built = index.stored_index(spark, str(tmp_path / "ix"), mode), index.build_index(docs, FIELDS, mode)
+        for terms in (["library", "rules"], ["信息", "exam"], []):
+            a, b = ({(r.doc_id, r.field): round(r.sim, 9) for r in rank.field_cosines(ix, terms, mode).collect()} for ix in (stored, built))
+            assert a == b
+    stored = index.stored_index(spark, str(tmp_path / "ix"))
+    for q in ('"of the library"', '"the of library"', "libr*", "rul?s", "ibr*", "“信息与公开”", "“公开信息”", "信息*", "c.e*", "/Exam/ libr* site:a.edu", "ed?"):
+        assert ids(matching(docs, parse(q), stored)) == ids(matching(docs, parse(q))), q
+    plan = rank.field_cosines(stored, ["library"])._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term, [library])" in plan or "EqualTo(term,library)" in plan
+
+
+def test_title_boost_of_patterns(docs):
+    rows = {r.doc_id: r for r in search(docs, "libr*").collect()}
+    assert rows[2].signals.title_hit and not rows[1].signals.title_hit
+    assert {r.doc_id: r.signals.title_hit for r in search(docs, "/Exam n/").collect()} == {1: True}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.functions import text as tx
 from tidewrack.functions import urls
-from tidewrack.operators import index
+from tidewrack.operators import frontier, index
 from tidewrack.scratch import Scratch, shared_dir
 from tidewrack.sources import attachments, html, robots, tables
 from tidewrack.streaming import logs
@@ -137,3 +137,25 @@ def test_shared_folder_is_read_from_the_session(spark):
     s.drop(t)
     with pytest.raises(Exception):
         t.collect()
+
+
+def test_links_in_all_quotes_and_relative(spark):
+    page = '<head><script>x</script><title>T</title></head><a href="/a">one</a> <a class=x href=\'b.html?q=1#f\'>two</a> <a href=../c>three</a><a href="//o.org/x/./y/">four</a><a href="#top">five</a><a href="mailto:a@b">six</a><a data-href="no">seven</a>'
+    rows = html.links(spark.createDataFrame([("http://H.org/d/e/p.html", page)], "url string, html string")).select("href", urls.linked(F.col("url"), F.col("href")).alias("dst"), "anchor").collect()
+    assert [(r.anchor, r.dst) for r in rows] == [("one", "h.org/a"), ("two", "h.org/d/e/b.html"), ("three", "h.org/d/c"), ("four", "o.org/x/y/"), ("five", None), ("six", None)]
+    pairs = [("http://a", "x"), ("http://a/b/", "."), ("http://a/b/c", "../../../d"), ("http://a/b/c", "http://z.org"), ("http://a/b/c", ".."), ("x", "y"), (None, "y")]
+    got = spark.createDataFrame(pairs, "b string, h string").select(urls.linked(F.col("b"), F.col("h")).alias("u")).collect()
+    assert [r.u for r in got] == ["a/x", "a/b/", "a/d", "z.org/", "a/", None, None]
+    assert spark.createDataFrame([(page,)], "h string").select(html.body(F.col("h"))).first()[0] == "one two three four five six seven"
+
+
+def test_noise_names_whole_labels(spark):
+    yes = ["http://a/login", "http://cas.a.edu/x", "http://a/x?redirect=1", "http://a/sso/y", "http://passport.a/", "http://a/logout.html"]
+    no = ["http://a/professor", "http://a/lesson", "http://a/case-study", "http://a/forecast", "http://a/cascade", "http://casino-win.example.org/x"]
+    left = frontier.without_noise(spark.createDataFrame([(u,) for u in yes + no], "url string")).collect()
+    assert [r.url for r in left] == no
+
+
+def test_clearing_keeps_unknown_users(spark):
+    log = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "user_id long, q string")
+    assert sorted(r.q for r in tables.cleared(log, 1).collect()) == ["b", "c"]

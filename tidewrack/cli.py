@@ -1,4 +1,4 @@
-"""Command line: python -m tidewrack.cli build-index|search|dry-run|stats ..."""
+"""Command line: python -m tidewrack.cli build-index|search|dry-run|stats|selfcheck|init-demo ..."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidewrack.operators import frontier, index
-from tidewrack.plans import search
-from tidewrack.sources import tables
+from tidewrack.plans import search, selfcheck
+from tidewrack.sources import demo, tables
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -30,6 +30,17 @@ def main(argv: list[str] | None = None) -> None:
     dry.add_argument("--quota", type=int, default=50)
     dry.add_argument("--target-new", type=int, default=30000)
     sub.add_parser("stats", help="figures of a corpus (JSON lines)").add_argument("documents")
+    check = sub.add_parser("selfcheck", help="the acceptance run on documents (JSON lines) and their built index")
+    check.add_argument("documents")
+    check.add_argument("index")
+    check.add_argument("--query", default="library")
+    check.add_argument("--site", default="example.org")
+    check.add_argument("--filetype", default="pdf")
+    check.add_argument("--phrase", default='"of the library"')
+    check.add_argument("--wildcard", default="libr*")
+    check.add_argument("--regex", default="/[Rr]ule.{0,2}/")
+    check.add_argument("--prefix", default="li")
+    sub.add_parser("init-demo", help="write a small corpus: documents, links, frontier, snapshots").add_argument("out")
     args = top.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
 
@@ -39,14 +50,19 @@ def main(argv: list[str] | None = None) -> None:
 
     fields = {"title": "title", "anchor": "anchor_text", "attachment": "attachment_text", "body": "body"}
     if args.task == "build-index":
-        from tidewrack.functions import text as tx
-
-        tables.write_index(index.build_index(documents(), fields, split=tx.search_tokens), args.out)
+        index.store_index(documents(), fields, args.out)
     elif args.task == "search":
-        from tidewrack.functions import text as tx
-
-        ix = tables.read_index(spark, args.index) if args.index else None
-        search.search(documents(), args.query, ix, fields=fields, n=args.n, backend=args.backend, split=tx.search_tokens).select("place", "score", "url", "title", "snippet").show(args.n, truncate=120)
+        ix = index.stored_index(spark, args.index) if args.index else None
+        search.search(documents(), args.query, ix, fields=fields, n=args.n, backend=args.backend).select("place", "score", "url", "title", "snippet").show(args.n, truncate=120)
+    elif args.task == "selfcheck":
+        rows = selfcheck.measured(documents(), documents(), index.stored_index(spark, args.index), args.query, args.site, args.filetype, args.phrase, args.wildcard, args.regex, args.prefix)
+        found = selfcheck.verdicts(rows).collect()
+        for r in found:
+            print(f"{r.name:<16}{r.verdict} {r.measured:g}")
+        if any(r.verdict != "PASS" for r in found):
+            raise SystemExit(1)
+    elif args.task == "init-demo":
+        demo.write(spark, args.out)
     elif args.task == "dry-run":
         seeds = tables.read_frontier(spark, args.frontier).select("url", F.parse_url("url", F.lit("HOST")).alias("host"), F.lit(0).alias("priority"), F.lit("seed").alias("source"))
         frontier.prepared([seeds], tables.read_frontier(spark, args.fetched), args.quota, args.target_new).select("url").show(args.target_new, truncate=False)

@@ -12,6 +12,8 @@ TOKEN = r"[\p{L}\p{N}]+"
 HAN = r"\p{IsHan}"
 #: Pieces that, joined, are the text again: tokens and what stands between them.
 PIECE = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+#: The same with every Han character as a piece.
+HAN_PIECE = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+|[^\p{L}\p{N}]+"
 
 
 def tokens(text: Column) -> Column:
@@ -19,14 +21,19 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), 0)
 
 
+def _grams(run: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - (n - 1), F.lit(1))), lambda i: F.substring(run, i, n))
+
+
+def han_bigrams(text: Column) -> Column:
+    """The pairs of neighbours in each run of Han characters."""
+    runs = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"{HAN}{{2,}}"), 0), lambda r: F.length(r) > 1)
+    return F.flatten(F.transform(runs, lambda r: _grams(r, 2)))
+
+
 def search_tokens(text: Column) -> Column:
-    """tokens(), with each run of Han characters also as its single characters and its bigrams (no dictionary is at hand)."""
-    text = F.lower(F.coalesce(text, F.lit("")))
-    plain = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}&&[^\p{IsHan}]]+"), 0)
-    runs = F.regexp_extract_all(text, F.lit(rf"{HAN}+"), 0)
-    grams = lambda r, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - (n - 1), F.lit(1))), lambda i: F.substring(r, i, n))
-    han = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) > 1, F.concat(grams(r, 1), grams(r, 2))).otherwise(grams(r, 1))))
-    return F.concat(plain, han)
+    """tokens(), but each run of Han characters as its single characters and, behind all others, its bigrams (no dictionary is at hand)."""
+    return F.concat(phrase_tokens(text), han_bigrams(text))
 
 
 def phrase_tokens(text: Column) -> Column:

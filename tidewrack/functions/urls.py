@@ -14,7 +14,9 @@ CONTENT_TYPES = {
     "application/pdf": "pdf", "application/msword": "doc", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx",
     "application/vnd.ms-excel": "xls", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx", "text/html": "html",
 }
-NOISE = r"(?i)(cas|login|logout|redirect|sso|passport)"
+#: Each stands for a whole label of the host, part of the path or name in the query: /cas is a login page, /case-study is not.
+NOISE = r"(?i)(^|[/.?&=_-])(cas|login|logout|redirect|sso|passport)([/.?&=:#;_-]|$)"
+LOGIN = r"(?i)(^|[/.?&=_-])(cas|login|redirect)([/.?&=:#;_-]|$)"
 ATTACHMENT = r"(?i)(_upload|\.(pdf|docx?|xlsx?)([?#]|$))"
 
 
@@ -62,6 +64,23 @@ def resolved(base: Column, href: Column) -> Column:
     return F.pandas_udf(_resolved_all, "string")(base, href)
 
 
+def linked(base: Column, href: Column) -> Column:
+    """host/path that a link of the page at `base` leads to, in built-in expressions; null for fragments, mail and scripts.
+
+    Paths are relative to the page's folder; . and .. are followed, and .. stops at the root. Query and fragment go.
+    """
+    bare = F.regexp_replace(F.trim(href), "[?#].*$", "")
+    whole = F.rlike(bare, F.lit("^[A-Za-z]+://"))
+    own = F.when(whole, host(bare)).when(F.startswith(bare, F.lit("//")), F.lower(F.regexp_extract(bare, "^//([^/:]+)", 1))).otherwise(host(base))
+    folder = F.regexp_replace(F.when(path(base) == "", F.lit("/")).otherwise(path(base)), "[^/]*$", "")
+    full = F.when(whole, path(bare)).when(F.startswith(bare, F.lit("//")), F.regexp_extract(bare, "^//[^/]+(/.*)$", 1)).when(F.startswith(bare, F.lit("/")), bare).otherwise(F.concat(folder, bare))
+    parts = F.split(F.regexp_replace(full, "^/", ""), "/")
+    steps = F.aggregate(parts, F.array().cast("array<string>"), lambda at, x: F.when(x == "..", F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0)))).when(x == ".", at).otherwise(F.concat(at, F.array(x))))
+    ends = F.element_at(parts, -1).isin(".", "..") & (F.size(steps) > 0)
+    no_page = (bare == "") | F.rlike(bare, F.lit("^(?i)(mailto|javascript|tel|data):")) | (own == "")
+    return F.when(~no_page, F.concat(own, F.lit("/"), F.array_join(steps, "/"), F.when(ends, "/").otherwise("")))
+
+
 def snapshot_path(url: Column) -> Column:
     return F.concat(F.lit("snapshots/"), F.md5(url), F.lit(".html.gz"))
 

@@ -10,8 +10,11 @@ from tidewrack.functions import text as tx
 FIELDS = ("title", "anchor", "attachment", "body")
 
 
-def token_rows(docs: DataFrame, fields: dict[str, str], split=tx.tokens) -> DataFrame:
-    """doc_id, field, pos, term; fields: field name to column. One scan, whatever the number of fields."""
+def token_rows(docs: DataFrame, fields: dict[str, str], split=tx.search_tokens) -> DataFrame:
+    """doc_id, field, pos, term; fields: field name to column. One scan, whatever the number of fields.
+
+    Of search_tokens the words and single characters come first, so that their positions are those of phrases.
+    """
     each = F.array(*(F.struct(F.lit(name).alias("field"), split(F.col(column)).alias("terms")) for name, column in fields.items()))
     rows = docs.select("doc_id", F.explode(each).alias("f"))
     return rows.select("doc_id", F.col("f.field").alias("field"), F.posexplode("f.terms").alias("pos", "term"))
@@ -44,8 +47,7 @@ def weight(tf: Column, idf_: Column) -> Column:
 
 def norms(tf: DataFrame, stats: DataFrame, mode: str = "smooth") -> DataFrame:
     """doc_id, field, norm of the weighted vectors."""
-    own = F.col("idf_smooth" if mode == "smooth" else "idf_raw")
-    rows = tf.join(stats, "term").select("doc_id", "field", weight(F.col("tf"), own).alias("w"))
+    rows = tf.select("doc_id", "field", "term", "tf").join(stats, "term").select("doc_id", "field", weight(F.col("tf"), F.col("idf_smooth" if mode == "smooth" else "idf_raw")).alias("w"))
     return rows.groupBy("doc_id", "field").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
@@ -53,13 +55,42 @@ def count_of(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"))
 
 
-def build_index(docs: DataFrame, fields: dict[str, str], mode: str = "smooth", positions: bool = False, split=tx.tokens) -> dict[str, DataFrame]:
-    """postings, stats and norms of docs(doc_id, ...)."""
+def build_index(docs: DataFrame, fields: dict[str, str], mode: str = "smooth", positions: bool = False, split=tx.search_tokens) -> dict[str, DataFrame]:
+    """postings, stats and norms of docs(doc_id, ...), lazily."""
     tf = term_frequencies(token_rows(docs, fields, split), positions)
     stats = term_stats(tf, count_of(docs))
     return {"postings": tf, "stats": stats, "norms": norms(tf, stats, mode)}
 
 
+def store_index(docs: DataFrame, fields: dict[str, str], path: str, modes: tuple[str, ...] = ("smooth",), split=tx.search_tokens) -> None:
+    """The index of docs(doc_id, ...), each part written once: postings, stats and, for each idf mode, norms.
+
+    A posting holds its positions and its document's norms, so that a query reads its terms' postings and nothing else.
+    Postings and stats lie in ranges of the term (of a term that very many documents have, of the document too), so a
+    lookup prunes row groups. Parts are written before they are joined: Spark can then split a frequent term's rows.
+    """
+    spark = docs.sparkSession
+
+    def put(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{path}/{name}")
+
+    tf = put(term_frequencies(token_rows(docs, fields, split), positions=True), "terms")
+    stats = put(term_stats(tf, count_of(docs)).repartitionByRange("term").sortWithinPartitions("term"), "stats")
+    rows = tf.select("doc_id", "field", "term", "tf").join(stats, "term")
+    own = {mode: weight(F.col("tf"), F.col("idf_smooth" if mode == "smooth" else "idf_raw")) for mode in modes}
+    norm = rows.groupBy("doc_id", "field").agg(*(F.sqrt(F.sum(w * w)).alias(f"norm_{mode}") for mode, w in own.items()))
+    postings = tf.join(put(norm, "norms"), ["doc_id", "field"])
+    put(postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
+
+
+def stored_index(spark, path: str, mode: str = "smooth") -> dict[str, DataFrame]:
+    """What store_index wrote, with one mode's norms."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    rest = ["doc_id", "field", F.col(f"norm_{mode}").alias("norm")]
+    return {"postings": read("postings").select("term", *rest, "tf", "positions"), "stats": read("stats"), "norms": read("norms").select(*rest)}
+
+
 def anchors_by_target(links: DataFrame) -> DataFrame:
     """dst, anchor_text (all anchors, sorted), inlinks_count (distinct sources)."""
     return links.groupBy("dst").agg(F.array_join(F.array_sort(F.collect_list("anchor")), " ").alias("anchor_text"), F.countDistinct("src").alias("inlinks_count"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 10, cut_
     vertices = scratch.table(all_.select(F.col("src").alias("id")).union(all_.select("dst")).distinct())
     own = all_.where("src <> dst")
     degree = own.groupBy("src").agg(F.count("*").alias("degree"))
-    own = scratch.table(own.join(degree, "src"))
+    own = scratch.table(own.join(degree, "src")).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)  # dealt once, for all rounds
     n = vertices.count()
     if not n:
         return vertices.withColumn("pr", F.lit(0.0))
@@ -37,7 +38,9 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 10, cut_
         ranks = after.select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("given", F.lit(0.0)) + lost / n)).alias("pr"))
         if dangling and i % cut_every == 0 and i < iterations:
             ranks = scratch.table(ranks)
-    return scratch.table(ranks)
+    out = scratch.table(ranks)
+    own.unpersist()
+    return out
 
 
 def normalised(ranks: DataFrame) -> DataFrame:

@@ -22,8 +22,10 @@ def personal(interest: Column, role: Column, clicked: Column, config: RankingCon
     return F.least(F.lit(1.0), config.interest_share * interest.cast("double") + config.role_share * role.cast("double") + config.click_share * clicked.cast("double"))
 
 
-def personalised(docs: DataFrame, users: DataFrame, clicks: DataFrame, config: RankingConfig = DEFAULT) -> DataFrame:
+def personalised(docs: DataFrame, users: DataFrame, clicks: DataFrame, config: RankingConfig = DEFAULT, most_users: int = 1000) -> DataFrame:
     """user_id, doc_id, pers for each user (a few, named by the caller) and document; users(user_id, role, interests), clicks(user_id, doc_id)."""
+    if users.limit(most_users + 1).count() > most_users:
+        raise ValueError(f"more than {most_users} users: personal scores are for a few at a time")
     pairs = docs.select("doc_id", "title", "body", "doc_type").join(F.broadcast(users), how="cross")
     own = clicks.select("user_id", "doc_id", F.lit(True).alias("clicked")).distinct()
     pairs = pairs.join(own, ["user_id", "doc_id"], "left")
@@ -45,7 +47,7 @@ def recommendations(docs: DataFrame, postings: DataFrame, doc_id: int, n: int, i
     The given document's distinct terms are a bounded set of one document's; they meet the postings in a hash join.
     """
     own = postings.where(F.col("doc_id") == doc_id).select("term").distinct()
-    related = postings.where(F.col("doc_id") != doc_id).join(own, "term").groupBy("doc_id").agg(F.countDistinct("term").alias("shared"))
+    related = postings.where(F.col("doc_id") != doc_id).select("doc_id", "term").join(own, "term").groupBy("doc_id").agg(F.countDistinct("term").alias("shared"))
     rows = docs.join(related, "doc_id")
     rows = rows.join(pr_hat.withColumnRenamed("id", "doc_id"), "doc_id", "left") if pr_hat is not None else rows.withColumn("pr_hat", F.lit(0.0))
     text = F.lower(F.concat_ws(" ", "title", "body"))

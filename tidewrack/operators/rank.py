@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewrack.config import DEFAULT, RankingConfig
 from tidewrack.functions import text as tx
+from tidewrack.functions import urls
 from tidewrack.operators import index
 
 
@@ -28,6 +29,9 @@ def field_cosines(ix: dict[str, DataFrame], terms: list[str], mode: str = "smoot
     """doc_id, field, sim of documents with a query term; 0 where a norm is 0."""
     q = query_vector(ix["stats"], terms, mode)
     hits = ix["postings"].where(F.col("term").isin(*set(terms))) if terms else ix["postings"].limit(0)
+    if "norm" in ix["postings"].columns:  # a stored index
+        sums = hits.join(F.broadcast(q), "term").groupBy("doc_id", "field").agg(F.sum(F.col("wq") * index.weight(F.col("tf"), F.col("idf"))).alias("dot"), F.max("q_norm").alias("q_norm"), F.max("norm").alias("norm"))
+        return sums.select("doc_id", "field", F.coalesce(F.try_divide(F.col("dot"), F.col("q_norm") * F.col("norm")), F.lit(0.0)).alias("sim"))
     dots = hits.join(F.broadcast(q), "term").groupBy("doc_id", "field").agg(F.sum(F.col("wq") * index.weight(F.col("tf"), F.col("idf"))).alias("dot"), F.max("q_norm").alias("q_norm"))
     return dots.join(ix["norms"], ["doc_id", "field"]).select("doc_id", "field", F.coalesce(F.try_divide(F.col("dot"), F.col("q_norm") * F.col("norm")), F.lit(0.0)).alias("sim"))
 
@@ -52,7 +56,7 @@ def coverage(tokens: Column, terms: list[str]) -> Column:
 def low_quality(title: Column, body: Column, url: Column | None = None) -> Column:
     """Login, CAS and redirect pages, addresses as titles, empty bodies."""
     out = F.rlike(F.lower(title), F.lit(r"^(https?://|www\.)")) | (F.length(F.trim(F.coalesce(body, F.lit("")))) == 0) | (F.length(F.trim(F.coalesce(title, F.lit("")))) == 0)
-    return out | F.rlike(url, F.lit(r"(?i)(cas|login|redirect)")) if url is not None else out
+    return out | F.rlike(url, F.lit(urls.LOGIN)) if url is not None else out
 
 
 def list_page(title: Column, body: Column) -> Column:
@@ -118,21 +122,25 @@ def diversified(scored: DataFrame, window: int = DEFAULT.diversity_window, per_h
     return out.withColumn("place", F.row_number().over(Window.orderBy("bucket", "rn"))).drop("_hn", "_kr")
 
 
-def snippets(docs: DataFrame, terms: list[str], config: RankingConfig = DEFAULT, bodies: DataFrame | None = None) -> DataFrame:
-    """doc_id, off, snippet_score, snippet of docs(doc_id, body): the densest window of characters that begins at a hit.
+def snippets(docs: DataFrame, terms: list[str], config: RankingConfig = DEFAULT) -> DataFrame:
+    """doc_id, off, snippet_score, snippet of docs(doc_id, body), a row for each doc_id: the densest window of characters that begins at a hit.
 
     A window scores three for each distinct term and one for each hit, less a penalty in the first characters, where
-    navigation stands; the earliest of equal windows wins. Meant for the few documents of a result list;
-    for many, bodies(doc_id, body), a row for each doc_id, is joined at the end, so that no piece carries its text.
+    navigation stands; the earliest of equal windows wins. Han characters are terms of their own, and each with the
+    next one. Places are found without their texts, which are joined to the one best place of each document.
     """
-    pieces = docs.select("doc_id", *(["body"] if bodies is None else []), F.posexplode(F.regexp_extract_all("body", F.lit(tx.PIECE), 0)).alias("n", "piece"))
-    before = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    hits = pieces.withColumn("off", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0))).withColumn("term", F.lower("piece")).where(F.col("term").isin(*set(terms)))
+    han = F.col("piece").rlike(rf"^{tx.HAN}$")
+    pieces = docs.select("doc_id", F.posexplode(F.regexp_extract_all("body", F.lit(tx.HAN_PIECE), 0)).alias("n", "piece"))
+    order = Window.partitionBy("doc_id").orderBy("n")
+    pieces = pieces.select("doc_id", "n", F.lower("piece").alias("term"), F.coalesce(F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"), han.alias("han"))
+    pieces = pieces.select("doc_id", "off", "term", "han", F.lead("han").over(order).alias("next_han"), F.lead("term").over(order).alias("next"))
+    both = F.array("term", F.when(F.col("han") & F.col("next_han"), F.concat("term", "next")))
+    hits = pieces.select("doc_id", "off", F.explode(both).alias("term")).where(F.col("term").isin(*set(terms)))
     ahead = Window.partitionBy("doc_id").orderBy("off").rangeBetween(0, config.snippet_chars - 1)
     score = 3 * F.size(F.collect_set("term").over(ahead)) + F.count("*").over(ahead) - F.when(F.col("off") < config.nav_chars, config.nav_penalty).otherwise(0)
-    best = hits.withColumn("snippet_score", score).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("snippet_score"), "off"))).where("_n = 1")
-    best = best if bodies is None else best.join(bodies.select("doc_id", "body"), "doc_id")
-    return best.select("doc_id", "off", F.col("snippet_score").cast("long").alias("snippet_score"), F.substring("body", F.col("off").cast("int") + 1, F.lit(config.snippet_chars)).alias("snippet"))
+    best = hits.withColumn("snippet_score", score).groupBy("doc_id").agg(F.max(F.struct("snippet_score", (-F.col("off")).alias("back"))).alias("best"))
+    best = best.select("doc_id", (-F.col("best.back")).alias("off"), F.col("best.snippet_score").cast("long").alias("snippet_score"))
+    return best.join(docs.select("doc_id", "body"), "doc_id").select("doc_id", "off", "snippet_score", F.substring("body", F.col("off").cast("int") + 1, F.lit(config.snippet_chars)).alias("snippet"))
 
 
 NOISE_SENTENCE = r"(?i)(copyright|©|all rights reserved|home ?page|版权所有|首页)"

@@ -23,7 +23,7 @@ def type_is(doc_type: Column, kind: str) -> Column:
 
 def has_phrase(text: Column, phrase: str) -> Column:
     """The phrase's tokens stand next to each other in this order; Han characters are tokens of their own."""
-    words = re.findall(r"[㐀-鿿]|[^\W_㐀-鿿]+", phrase.lower())
+    words = phrase_words(phrase)
     return F.contains(tx.joined(tx.phrase_tokens(text)), F.lit(" " + " ".join(words) + " ")) if words else F.lit(True)
 
 
@@ -51,6 +51,42 @@ def any_field(docs: DataFrame, predicate, fields=("title", "body", "anchor_text"
     return out
 
 
+def phrase_words(phrase: str) -> list[str]:
+    return re.findall(r"[㐀-鿿]|[^\W_㐀-鿿]+", phrase.lower())
+
+
+def _back(by: int):
+    return lambda place: place - F.lit(by)
+
+
+def phrase_hits(postings: DataFrame, phrase: str) -> DataFrame:
+    """doc_id, field of documents in which the phrase's tokens stand next to each other, by postings(term, doc_id, field, positions).
+
+    Each document's few postings of these terms meet in one grouping; their positions, moved to the phrase's start,
+    must have one in common.
+    """
+    words = phrase_words(phrase)
+    each = sorted(set(words))
+    rows = postings.where(F.col("term").isin(*each)).groupBy("doc_id", "field").agg(*(F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(f"p{each.index(w)}") for w in each))
+    common = None
+    for i, word in enumerate(words):
+        moved = F.transform(F.col(f"p{each.index(word)}"), _back(i))
+        common = moved if common is None else F.array_intersect(common, moved)
+    return rows.where(F.size(common) > 0).select("doc_id", "field")
+
+
+def wildcard_hits(ix: dict[str, DataFrame], term: str) -> DataFrame:
+    """doc_id of documents with a term of the wildcard: the vocabulary is scanned (from its fixed beginning on), then the terms' postings."""
+    head = re.split(r"[*?]", term.lower())[0]
+    terms = vocabulary_matches(ix["stats"].where(F.startswith("term", F.lit(head))), term)
+    return ix["postings"].select("term", "doc_id").join(terms, "term", "left_semi").select("doc_id").distinct()
+
+
+def indexed(term: str) -> bool:
+    """Whether a wildcard's signs can stand in one term of the index."""
+    return re.fullmatch(r"(?:[^\W_㐀-鿿]|[*?])+", term) is not None
+
+
 def phrase_by_positions(tokens: DataFrame, phrase: list[str]) -> DataFrame:
     """doc_id, field, pos of each place of a phrase, by equi-joins of positional postings."""
     found = tokens.where(F.col("term") == phrase[0]).select("doc_id", "field", "pos")

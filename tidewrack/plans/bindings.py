@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidewrack.config import ROLES
 from tidewrack.functions import text as tx
 from tidewrack.functions import urls
+from tidewrack.operators import index
+from tidewrack.scratch import kept
 from tidewrack.sources import html
 
 
@@ -21,6 +23,12 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.concat(F.lit("doc://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("host"), F.col("lang").alias("doc_type"), tx.title_of(F.col("text")).alias("title"), F.coalesce("text", F.lit("")).alias("body"))
 
 
+def stored_index(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = ("title", "body"), mode: str = "smooth") -> dict[str, DataFrame]:
+    """The index of documents, written once for all queries of an application."""
+    write = lambda path: index.store_index(docs(spark, sf_dir), {f: f for f in fields}, path, ("smooth", "ltc"))
+    return index.stored_index(spark, kept(spark, "index-" + "-".join(fields), f"{sf_dir}/documents.parquet", write), mode)
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", "url", "html", urls.host(F.col("url")).alias("host"), urls.type_of(F.col("url")).alias("doc_type"))
@@ -29,9 +37,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst (host and path), anchor of the links of pages."""
     found = html.links(pages(spark, sf_dir).select("url", "html"))
-    own = urls.host(F.col("url"))
-    dst = F.when(F.startswith("href", F.lit("/")), F.concat(own, F.col("href"))).otherwise(F.regexp_replace("href", "^[A-Za-z]+://", ""))
-    return found.select(F.concat(own, urls.path(F.col("url"))).alias("src"), dst.alias("dst"), "anchor")
+    return found.select(F.concat(urls.host(F.col("url")), urls.path(F.col("url"))).alias("src"), urls.linked(F.col("url"), F.col("href")).alias("dst"), "anchor").where("dst is not null")
 
 
 def dense_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,9 +79,11 @@ def _plain(x: str) -> str:
     return rf"trim(regexp_replace({_decoded(stripped)}, '\s+', ' ', 'g'))"
 
 
-LINKS = rf"""l0 AS (SELECT url, {HOST} AS host, {PATH} AS path, regexp_extract_all(html, '{html.LINK}', 1) AS hrefs, regexp_extract_all(html, '{html.LINK}', 2) AS anchors FROM pages),
-l1 AS (SELECT url, host, path, i AS n, hrefs[i + 1] AS href, {_plain("anchors[i + 1]")} AS anchor FROM l0, unnest(range(len(hrefs))) AS t(i)),
-links AS (SELECT host || path AS src, CASE WHEN starts_with(href, '/') THEN host || href ELSE regexp_replace(href, '^[A-Za-z]+://', '') END AS dst, anchor FROM l1)"""
+_LINK = html.LINK.replace("'", "''")
+LINKS = rf"""l0 AS (SELECT url, {HOST} AS host, {PATH} AS path, regexp_extract_all(html, '{_LINK}', 1) AS h1, regexp_extract_all(html, '{_LINK}', 2) AS h2, regexp_extract_all(html, '{_LINK}', 3) AS h3, regexp_extract_all(html, '{_LINK}', 4) AS anchors FROM pages),
+l1 AS (SELECT url, host, path, i AS n, concat(h1[i + 1], h2[i + 1], h3[i + 1]) AS href, {_plain("anchors[i + 1]")} AS anchor FROM l0, unnest(range(len(anchors))) AS t(i)),
+l2 AS (SELECT *, regexp_replace(href, '[?#].*$', '') AS bare FROM l1),
+links AS (SELECT host || path AS src, CASE WHEN starts_with(bare, '/') THEN host || bare WHEN regexp_matches(bare, '^[A-Za-z]+://') THEN regexp_replace(bare, '^[A-Za-z]+://', '') ELSE host || regexp_replace(path, '[^/]*$', '') || bare END AS dst, anchor FROM l2 WHERE bare <> '')"""
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -272,8 +274,7 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sims(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    ix = index.build_index(b.docs(spark, sf_dir), {"body": "body"}, mode)
-    return rank.field_cosines(ix, list(TERMS), mode)
+    return rank.field_cosines(b.stored_index(spark, sf_dir, ("body",), mode), list(TERMS), mode)
 
 
 @query("vsm_cosine", f"WITH {_cosine('smooth')} SELECT doc_id, round(sim, 6) AS sim FROM sim")
@@ -296,8 +297,7 @@ vsm AS (SELECT doc_id, sum(CASE field WHEN 'title' THEN 4.0::DOUBLE ELSE 1.0::DO
 
 
 def _vsm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ix = index.build_index(b.docs(spark, sf_dir), {"title": "title", "body": "body"})
-    return rank.fused(rank.field_cosines(ix, list(TERMS)), DEFAULT.field_weights)
+    return rank.fused(rank.field_cosines(b.stored_index(spark, sf_dir), list(TERMS)), DEFAULT.field_weights)
 
 
 @query("vsm_field_fusion", f"WITH {FUSION} SELECT doc_id, round(vsm, 6) AS vsm FROM vsm")
@@ -307,7 +307,7 @@ def vsm_field_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("recall_multi_field", f"WITH {FUSION} SELECT DISTINCT doc_id FROM tf WHERE term IN {IN_TERMS}")
 def recall_multi_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recall.candidates(index.term_frequencies(index.token_rows(b.docs(spark, sf_dir), {"title": "title", "body": "body"})), list(TERMS))
+    return recall.candidates(b.stored_index(spark, sf_dir)["postings"], list(TERMS))
 
 
 @query("recall_top_k", f"WITH {_cosine('smooth')} SELECT doc_id, round(sim, 6) AS sim FROM sim ORDER BY round(sim, 6) DESC, doc_id LIMIT 100")
@@ -356,7 +356,7 @@ top AS (SELECT persona, row_number() OVER (PARTITION BY persona ORDER BY score D
 
 def _personas(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = b.users(spark, sf_dir).where(F.col("user_id").isin(9, 5, 7)).withColumn("persona", F.when(F.col("user_id") == 9, "guest").when(F.col("user_id") == 5, "undergraduate").otherwise("teacher"))
-    return s.personas(b.docs(spark, sf_dir), " ".join(TERMS), users, b.clicks(spark, sf_dir), 10, BOUND)
+    return s.personas(b.docs(spark, sf_dir), " ".join(TERMS), users, b.clicks(spark, sf_dir), 10, BOUND, b.stored_index(spark, sf_dir))
 
 
 @query("persona_top10", f"WITH {PERSONAS} SELECT persona, rn, doc_id, score FROM top")
@@ -385,7 +385,7 @@ def pagerank_bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _match(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     from tidewrack.plans.query import parse
 
-    return s.matching(b.docs(spark, sf_dir), parse(text)).select("doc_id")
+    return s.matching(b.docs(spark, sf_dir), parse(text), b.stored_index(spark, sf_dir)).select("doc_id")
 
 
 @query("search_site", f"WITH {_cosine('smooth')} SELECT doc_id, round(sim, 6) AS sim FROM sim JOIN documents USING (doc_id) WHERE lower(source) = 'src3'")
@@ -438,9 +438,7 @@ def search_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vocabulary_wildcard", f"WITH {STATS} SELECT DISTINCT doc_id FROM tf WHERE regexp_matches(term, '^th[\\p{{L}}\\p{{N}}]*ng$')")
 def vocabulary_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = _body_tf(spark, sf_dir)
-    terms = recall.vocabulary_matches(tf.select("term").distinct(), "th*ng")
-    return tf.join(terms, "term", "left_semi").select("doc_id").distinct()
+    return recall.wildcard_hits(b.stored_index(spark, sf_dir, ("body",)), "th*ng")
 
 
 # --- result lists -------------------------------------------------------------------------------------
@@ -479,7 +477,7 @@ def term_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.docs(spark, sf_dir).select("doc_id", F.round(rank.coverage(tx.tokens(F.col("body")), list(TERMS)), 6).alias("coverage"))
 
 
-@query("low_quality_flag", f"WITH {D} SELECT doc_id, regexp_matches(lower(title), '^(https?://|www\\.)') OR length(trim(body)) = 0 OR length(trim(title)) = 0 OR regexp_matches('doc://' || host || '/' || doc_id, '(?i)(cas|login|redirect)') AS low_quality FROM d")
+@query("low_quality_flag", f"WITH {D} SELECT doc_id, regexp_matches(lower(title), '^(https?://|www\\.)') OR length(trim(body)) = 0 OR length(trim(title)) = 0 OR regexp_matches('doc://' || host || '/' || doc_id, '{urls.LOGIN}') AS low_quality FROM d")
 def low_quality_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.docs(spark, sf_dir).select("doc_id", rank.low_quality(F.col("title"), F.col("body"), F.col("url")).alias("low_quality"))
 
@@ -531,7 +529,7 @@ def _every(sql: str) -> str:
 
 @query("snippet_window_all", _every(SQL["snippet_window"]))
 def snippet_window_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.snippets(_hits(spark, sf_dir), list(TERMS), bodies=b.docs(spark, sf_dir)).select("doc_id", "off", "snippet_score", F.md5("snippet").alias("snippet_md5"))
+    return rank.snippets(_hits(spark, sf_dir), list(TERMS)).select("doc_id", "off", "snippet_score", F.md5("snippet").alias("snippet_md5"))
 
 
 @query("snippet_sentence_all", _every(SQL["snippet_sentence"]))
@@ -555,7 +553,7 @@ s AS (SELECT title AS text, 'title' AS kind, count(*) AS freq FROM d WHERE start
 SELECT text, kind, freq FROM s ORDER BY freq DESC, text, kind LIMIT 20""")
 def suggest_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b.docs(spark, sf_dir)
-    words = index.token_rows(docs, {"body": "body"}).groupBy("term").agg(F.count("*").alias("freq"))
+    words = b.stored_index(spark, sf_dir, ("body",))["postings"].where(F.startswith("term", F.lit("th"))).groupBy("term").agg(F.sum("tf").alias("freq"))
     return personal.suggestions(docs, words, "Th", 20)
 
 
@@ -565,7 +563,7 @@ SELECT doc_id, shared, round(shared / 10.0 + 2.0 * i::INT + 1.0 * t::INT + 0.5 *
 FROM x ORDER BY score DESC, doc_id LIMIT 20""")
 def recommend_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b.docs(spark, sf_dir)
-    return personal.recommendations(docs, _body_tf(spark, sf_dir), 11, 20, ["machinery"], "teacher", ["license"], config=BOUND)
+    return personal.recommendations(docs, b.stored_index(spark, sf_dir, ("body",))["postings"], 11, 20, ["machinery"], "teacher", ["license"], config=BOUND)
 
 
 @query("search_results", None)
@@ -573,19 +571,155 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search: no SQL, as it is the composition of the operators above; tests hold it against them."""
     docs = b.docs(spark, sf_dir).join(b.fetched(spark, sf_dir), "doc_id", "left")
     pers = _pers(spark, sf_dir, b.docs(spark, sf_dir), USER)
-    return s.search(docs, " ".join(TERMS), pr_hat=_click_ranks(spark, sf_dir), pers=pers, as_of=AS_OF, config=BOUND)
+    return s.search(docs, " ".join(TERMS), b.stored_index(spark, sf_dir), pr_hat=_click_ranks(spark, sf_dir), pers=pers, as_of=AS_OF, config=BOUND)
+
+
+LEGAL = replace(BOUND, intents={"legal": ("license", "version")})
+_PHRASE = "contains(' ' || array_to_string(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ', ' license under the ')"
+SIGNALS = f"""{FINAL}, got AS (SELECT doc_id, count(DISTINCT term) FILTER (WHERE term IN {IN_TERMS}) / 3.0 AS coverage, bool_or(term IN ('license', 'version')) AS intent, bool_or(field = 'title' AND term IN {IN_TERMS}) AS title_hit FROM tf WHERE term IN {IN_TERMS} OR term = 'version' GROUP BY doc_id),
+ln AS (SELECT doc_id, list_filter(string_split(body, chr(10)), lambda x: length(trim(x)) > 0) AS lines FROM d),
+sg AS (SELECT doc_id, host, title, body, vsm, coalesce(pr_hat, 0) AS pr_hat, coalesce(exp(-date_diff('day', fetched_at::DATE, DATE '{AS_OF}') / 180.0), 0) AS fresh, pers, intent, coverage, title_hit, {_PHRASE.format("title")} OR {_PHRASE.format("body")} AS exact,
+    regexp_matches(lower(title), '^(https?://|www\\.)') OR length(trim(body)) = 0 OR length(trim(title)) = 0 OR regexp_matches('doc://' || host || '/' || doc_id, '{urls.LOGIN}') AS low_quality, len(lines) >= 8 AND len(list_filter(lines, lambda x: length(x) > 40)) = 0 AS list_page
+    FROM vsm JOIN d USING (doc_id) JOIN got USING (doc_id) JOIN ln USING (doc_id) LEFT JOIN pr USING (doc_id) LEFT JOIN fr USING (doc_id) JOIN (SELECT doc_id, pers FROM pers WHERE user_id = {USER}) USING (doc_id)),
+fs AS (SELECT *, round((vsm * (1 + 0.5 * ln(1 + pr_hat)) + 0.1 * fresh + 0.3 * pers + 0.2 * intent::INT + 0.3 * exact::INT + 0.2 * coverage + 0.2 * title_hit::INT) * (CASE WHEN low_quality THEN 0.3 ELSE 1.0 END)::DOUBLE * (CASE WHEN list_page THEN 0.7 ELSE 1.0 END)::DOUBLE, 9) AS score FROM sg)"""
+RANKED = f"""{SIGNALS}, top AS (SELECT * FROM fs ORDER BY score DESC, doc_id LIMIT 1000), dd AS (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY md5(title || left(body, 200)) ORDER BY score DESC, doc_id) = 1),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rn FROM dd), h AS (SELECT *, row_number() OVER (PARTITION BY host, rn <= 60 ORDER BY rn) AS hn FROM r),
+k AS (SELECT *, CASE WHEN rn <= 60 AND hn <= 3 THEN 0 WHEN rn <= 60 THEN 1 ELSE 2 END AS bucket FROM h), o AS (SELECT *, row_number() OVER (ORDER BY bucket, rn) AS place FROM k)"""
+
+
+def _legal(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    docs = b.docs(spark, sf_dir).join(b.fetched(spark, sf_dir), "doc_id", "left")
+    return s.search(docs, " ".join(TERMS), b.stored_index(spark, sf_dir), pr_hat=_click_ranks(spark, sf_dir), pers=_pers(spark, sf_dir, b.docs(spark, sf_dir), USER), as_of=AS_OF, n=n, config=LEGAL)
+
+
+@query("search_ranked", f"WITH {RANKED} SELECT place, doc_id, round(score, 6) AS score FROM o WHERE place <= 60")
+def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search with every signal and correction, duplicates out and hosts spread."""
+    return _legal(spark, sf_dir, 60).select(F.col("place").cast("long").alias("place"), "doc_id", F.round("score", 6).alias("score"))
+
+
+@query("search_explained", f"WITH {RANKED} SELECT place, doc_id, intent, exact, round(coverage, 6)::DOUBLE AS coverage, title_hit, low_quality, list_page, round(vsm, 6) AS vsm, round(pr_hat, 6)::DOUBLE AS pr_hat, round(fresh, 6)::DOUBLE AS fresh, round(pers, 6) AS pers FROM o")
+def search_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each result stands where it does: the signals that its score is made of."""
+    rows = _legal(spark, sf_dir, LEGAL.recall)
+    flags = [F.col(f"signals.{k}").alias(k) for k in ("intent", "exact", "title_hit", "low_quality", "list_page")]
+    return rows.select(F.col("place").cast("long").alias("place"), "doc_id", *flags, *(F.round(f"signals.{k}", 6).alias(k) for k in ("coverage", "vsm", "pr_hat", "fresh", "pers")))
+
+
+HAN_LETTERS, HAN_SIGNS = "etaoin", "图书馆选课信"
+HAN_TERMS = ("图书", "图", "书", "选课", "选", "课")
+HAN = rf"""hd AS (SELECT doc_id, translate(lower(coalesce(text, '')), '{HAN_LETTERS}', '{HAN_SIGNS}') AS x FROM documents),
+hr AS (SELECT doc_id, unnest(regexp_extract_all(x, '\p{{Han}}+')) AS r FROM hd),
+ht AS (SELECT doc_id, unnest(regexp_extract_all(x, '\p{{Han}}')) AS term FROM hd UNION ALL SELECT doc_id, unnest(list_transform(range(1, length(r)), lambda i: substr(r, i, 2))) FROM hr
+    UNION ALL SELECT doc_id, unnest(regexp_extract_all(regexp_replace(x, '\p{{Han}}', ' ', 'g'), '[\p{{L}}\p{{N}}]+')) FROM hd),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM ht GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents), st AS (SELECT term, ln((max(n) + 1) / (count(*) + 1)) + 1 AS idf FROM tf, n GROUP BY term),
+w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN st USING (term)), norm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
+q AS (SELECT term, idf AS wq FROM st WHERE term IN {HAN_TERMS}), qn AS (SELECT sqrt(sum(wq * wq)) AS qn FROM q)"""
+
+
+def _han(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with six letters written as Chinese characters, so that runs of them stand among other letters."""
+    return b.docs(spark, sf_dir).withColumn("body", F.translate(F.lower("body"), HAN_LETTERS, HAN_SIGNS))
+
+
+@query("han_cosine", f"WITH {HAN} SELECT doc_id, round(sum(w * wq) / (max(norm) * max(qn)), 6) AS sim FROM w JOIN q USING (term) JOIN norm USING (doc_id), qn GROUP BY doc_id")
+def han_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewrack.plans.query import parse
+
+    ix = index.build_index(_han(spark, sf_dir), {"body": "body"})
+    return rank.field_cosines(ix, parse("图书 选课").terms).select("doc_id", F.round("sim", 6).alias("sim"))
+
+
+@query("han_phrase", f"WITH {HAN} SELECT doc_id FROM hd WHERE contains(x, '图选课') OR regexp_matches(x, '图[^\\p{{L}}\\p{{N}}]*选[^\\p{{L}}\\p{{N}}]*课')")
+def han_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewrack.plans.query import parse
+
+    docs = _han(spark, sf_dir).select("doc_id", "url", "host", "doc_type", "body")
+    return s.matching(docs, parse("“图选课”"), index.build_index(docs, {"body": "body"}, positions=True)).select("doc_id")
+
+
+@query("han_snippet", rf"""WITH hd AS (SELECT doc_id, translate(lower(coalesce(text, '')), '{HAN_LETTERS}', '{HAN_SIGNS}') AS x FROM documents), f AS (SELECT doc_id, x, strpos(x, '图选课') AS pos FROM hd WHERE contains(x, '图选课'))
+SELECT doc_id, contains(substr(x, pos, 160), '图选课') AS shown FROM f""")
+def han_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the snippet of each document that has a Han phrase shows one of its pairs."""
+    docs = _han(spark, sf_dir).where(F.contains("body", F.lit("图选课"))).select("doc_id", "body")
+    return rank.snippets(docs, ["图选", "选课"]).select("doc_id", F.rlike("snippet", F.lit("图选|选课")).alias("shown"))
+
+
+FIELDS4 = rf"""{LINKS}, pg AS (SELECT page_id AS doc_id, {HOST} || {PATH} AS url, {_plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, {_plain(f"regexp_replace(html, '{html.DROPPED}', ' ', 'g')")} AS body FROM pages),
+an AS (SELECT dst, array_to_string(list_sort(list(anchor)), ' ') AS anchor_text FROM links GROUP BY dst), al AS (SELECT doc_id, url, title, body, coalesce(anchor_text, '') AS anchor_text, CASE WHEN doc_id % 2 = 0 THEN body ELSE '' END AS attachment_text FROM pg LEFT JOIN an ON an.dst = pg.url),
+tok AS (SELECT doc_id, f.field, unnest(regexp_extract_all(lower(f.x), '[\p{{L}}\p{{N}}]+')) AS term FROM (SELECT doc_id, unnest([{{'field': 'title', 'x': title}}, {{'field': 'anchor', 'x': anchor_text}}, {{'field': 'attachment', 'x': attachment_text}}, {{'field': 'body', 'x': body}}]) AS f FROM al)),
+tf AS (SELECT doc_id, field, term, count(*) AS tf FROM tok GROUP BY ALL), n AS (SELECT count(*) AS n FROM al), st AS (SELECT term, ln((max(n) + 1) / (count(DISTINCT doc_id) + 1)) + 1 AS idf FROM tf, n GROUP BY term),
+w AS (SELECT doc_id, field, term, (1 + ln(tf)) * idf AS w FROM tf JOIN st USING (term)), norm AS (SELECT doc_id, field, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+q AS (SELECT term, idf AS wq FROM st WHERE term IN {IN_TERMS}), qn AS (SELECT sqrt(sum(wq * wq)) AS qn FROM q), sim AS (SELECT doc_id, field, sum(w * wq) / (max(norm) * max(qn)) AS sim FROM w JOIN q USING (term) JOIN norm USING (doc_id, field), qn GROUP BY ALL)"""
+
+
+@query("page_field_fusion", f"WITH {FIELDS4} SELECT doc_id, round(sum(CASE field WHEN 'title' THEN 4.0 WHEN 'anchor' THEN 3.0 WHEN 'attachment' THEN 1.5 ELSE 1.0 END::DOUBLE * sim), 6) AS vsm FROM sim GROUP BY doc_id")
+def page_field_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by all four fields: title, anchors of the links to them, attachment text (every second page stands for one) and body."""
+    p = b.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.concat(urls.host(F.col("url")), urls.path(F.col("url"))).alias("url"), html.title(F.col("html")).alias("title"), html.body(F.col("html")).alias("body"))
+    docs = index.with_anchors(p, b.page_links(spark, sf_dir)).withColumn("attachment_text", F.when(F.col("doc_id") % 2 == 0, F.col("body")).otherwise(""))
+    ix = index.build_index(docs, {"title": "title", "anchor": "anchor_text", "attachment": "attachment_text", "body": "body"})
+    return rank.fused(rank.field_cosines(ix, list(TERMS)), DEFAULT.field_weights).select("doc_id", F.round("vsm", 6).alias("vsm"))
+
+
+@query("docs_with_anchors", f"WITH {LINKS}, pg AS (SELECT page_id AS doc_id, {HOST} || {PATH} AS url FROM pages UNION ALL SELECT 1000000 + row_number() OVER (ORDER BY dst), dst FROM (SELECT DISTINCT dst FROM links)) SELECT url, count(dst) > 0 AS linked, coalesce(array_to_string(list_sort(list(anchor) FILTER (WHERE dst IS NOT NULL)), ' '), '') AS anchor_text, count(DISTINCT src) AS inlinks_count FROM (SELECT DISTINCT url FROM pg) LEFT JOIN links ON dst = url GROUP BY url")
+def docs_with_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = b.page_links(spark, sf_dir)
+    own = b.table(spark, sf_dir, "pages").select(F.concat(urls.host(F.col("url")), urls.path(F.col("url"))).alias("url"))
+    docs = own.union(links.select("dst")).distinct()
+    return index.with_anchors(docs, links).select("url", (F.col("inlinks_count") > 0).alias("linked"), "anchor_text", "inlinks_count")
+
+
+@query("frontier_dry_run", f"""WITH {FRONTIER}, s AS (SELECT url, host, priority FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY priority DESC, source) AS n FROM (SELECT url, host, priority, 'links' AS source FROM f UNION ALL SELECT {ORIGIN} || {PATH}, {HOST}, 10, 'pages' FROM pages)) WHERE n = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY priority DESC, url) AS host_rank FROM s WHERE NOT regexp_matches(url, '{urls.NOISE}') AND url NOT IN (SELECT url FROM f WHERE priority > 1)) SELECT url, host_rank FROM k WHERE host_rank <= 4 ORDER BY host_rank, priority DESC, url LIMIT 200""")
+def frontier_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _frontier(spark, sf_dir)
+    p = b.pages(spark, sf_dir).select(F.concat(urls.origin(F.col("url")), urls.path(F.col("url"))).alias("url"), "host", F.lit(10).cast("long").alias("priority"), F.lit("pages").alias("source"))
+    return frontier.prepared([f.withColumn("source", F.lit("links")), p], f.where("priority > 1"), 4, 200).select("url", F.col("host_rank").cast("long").alias("host_rank"))
+
+
+@query("robots_allowed", f"WITH {FRONTIER} SELECT url FROM f WHERE NOT (length(host) % 2 = 0 AND regexp_matches(regexp_replace(url, '^http://[^/]+', ''), '^/[a-m]'))")
+def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of an even length forbid paths that begin with a to m; others have no robots.txt."""
+    from tidewrack.sources import robots
+
+    f = _frontier(spark, sf_dir)
+    text = F.lit("User-agent: *\n" + "".join(f"Disallow: /{c}\n" for c in "abcdefghijklm"))
+    rules = f.select("host").distinct().where(F.length("host") % 2 == 0).select("host", text.alias("robots_txt"))
+    return robots.allowed(f, rules, "crawler").select("url")
+
+
+@query("selfcheck", f"""WITH {FUSION}, b1 AS (SELECT doc_id, body FROM d) SELECT 'documents' AS name, count(*)::DOUBLE AS measured FROM d UNION ALL SELECT 'site', count(*) FROM d WHERE lower(host) = 'src3' UNION ALL SELECT 'filetype', count(*) FROM d WHERE doc_type = 'de'
+UNION ALL SELECT 'phrase', count(*) FROM d WHERE {_PHRASE.format("body").replace("license under the", "of the")} OR {_PHRASE.format("title").replace("license under the", "of the")}
+UNION ALL SELECT 'wildcard', count(*) FROM ({"SELECT doc_id FROM d WHERE " + _pattern_sql(recall.wildcard_pattern("li*se"), True).split("WHERE ")[1]})
+UNION ALL SELECT 'regex', count(*) FROM d WHERE {_pattern_sql("version [0-9]+", False).split("WHERE ")[1]}
+UNION ALL SELECT 'snapshot', count(DISTINCT md5(url)) FROM pages UNION ALL SELECT 'self cosine', 1.0 UNION ALL SELECT 'ranked', least(60, count(*)) FROM vsm
+UNION ALL SELECT 'suggest', least(20, count(DISTINCT term)) FROM tf WHERE field = 'body' AND starts_with(term, 'th')""")
+def selfcheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The acceptance run: what each part of the engine finds on the tables, one row for each check."""
+    from tidewrack.plans.selfcheck import measured
+
+    return measured(b.docs(spark, sf_dir), b.table(spark, sf_dir, "pages"), b.stored_index(spark, sf_dir), " ".join(TERMS), "src3", "de", '"of the"', "li*se", "/version [0-9]+/", "th")
 
 
 @query("known_item", rf"""WITH t AS (SELECT item_id, doc_id FROM (SELECT item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), ' ') || ' ' AS b FROM benchmark),
     (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+'), ' ') || ' ' AS x FROM documents) WHERE contains(x, b)) SELECT item_id, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY item_id""")
 def known_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents hold each benchmark passage: its first eight words meet the documents' in an equi-join, then the whole passage is checked."""
+    """How many documents hold each benchmark passage: its first eight words (all of a shorter one) meet the documents' in an equi-join, then the whole passage is checked.
+
+    Lengths of shorter passages, seven at most, are read first; a document is keyed for those and for eight words.
+    """
     k = 8
-    own = b.table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("w")).where(F.size("w") >= k)
-    own = own.select("item_id", F.xxhash64(F.slice("w", 1, k)).alias("key"), tx.joined(F.col("w")).alias("passage"))
-    words = b.docs(spark, sf_dir).select("doc_id", tx.tokens(F.col("body")).alias("w")).where(F.size("w") >= k)
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.xxhash64(F.slice("w", i, k))))
-    hit = words.select("doc_id", F.explode(keys).alias("key")).join(own.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
+    own = b.table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("w"), F.least(F.size(tx.tokens(F.col("text"))), F.lit(k)).alias("k"))
+    sizes = sorted(r.k for r in own.select("k").distinct().collect())
+    own = own.select("item_id", F.xxhash64("k", F.slice("w", 1, k)).alias("key"), tx.joined(F.col("w")).alias("passage"))
+    words = b.docs(spark, sf_dir).select("doc_id", tx.tokens(F.col("body")).alias("w"))
+    keys = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.lit(n), F.slice("w", i, n)))
+    each = [F.when(F.size("w") >= n, keys(n)).otherwise(F.array().cast("array<bigint>")) if n else F.array(F.xxhash64(F.lit(0), F.slice("w", 1, 0))) for n in sizes]
+    hit = words.select("doc_id", F.explode(F.array_distinct(F.concat(*each))).alias("key")).join(own.select("key", "item_id"), "key").select("doc_id", "item_id").distinct() if sizes else None
+    if hit is None:
+        return own.select("item_id", F.lit(0).cast("long").alias("n_docs")).limit(0)
     rows = words.join(hit, "doc_id").join(own.select("item_id", "passage"), "item_id")
     return rows.where(F.contains(tx.joined(F.col("w")), F.col("passage"))).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"))
 

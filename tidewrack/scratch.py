@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,19 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_KEPT: dict[tuple[str, ...], str] = {}
+
+
+def kept(spark: SparkSession, label: str, source: str, write: Callable[[str], None]) -> str:
+    """The folder of what `write` made of the files at `source`, written once in an application for each state of these files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    summary = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    listed = spark.read.parquet(source).inputFiles()
+    key = (spark.sparkContext.applicationId, label, source, str(summary.getModificationTime()), str(hash(tuple(sorted(listed)))))
+    if key not in _KEPT:
+        folder = f"{shared_dir(spark)}/tidewrack/{label}-{uuid.uuid4().hex}"
+        write(folder)
+        _KEPT[key] = folder
+    return _KEPT[key]

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-DROPPED = r"(?is)<(script|style|head)(\s[^>]*)?>.*?</(script|style|head)>|<!--.*?-->"
-LINK = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+DROPPED = r"(?is)<!--.*?-->|<head(\s[^>]*)?>.*?</head\s*>|<script(\s[^>]*)?>.*?</script\s*>|<style(\s[^>]*)?>.*?</style\s*>"
+#: href in double, single or no quotes (groups 1 to 3), and what the link shows.
+LINK = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a\s*>"""
 
 
 def decoded(text: Column) -> Column:
@@ -35,9 +36,10 @@ def body(html: Column) -> Column:
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """url, n (place in the page from 0), href, anchor."""
-    pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(LINK), 1).alias("href"), F.regexp_extract_all(html, F.lit(LINK), 2).alias("anchor"))
-    rows = pages.select(url, F.posexplode(pairs).alias("n", "link"))
-    return rows.select(url, "n", F.col("link.href").alias("href"), plain(F.col("link.anchor")).alias("anchor"))
+    groups = {name: F.regexp_extract_all(html, F.lit(LINK), n).alias(name) for n, name in enumerate(("double", "single", "bare", "anchor"), 1)}
+    rows = pages.select(url, F.posexplode(F.arrays_zip(*groups.values())).alias("n", "link"))
+    href = F.concat_ws("", "link.double", "link.single", "link.bare")  # two of them are empty
+    return rows.select(url, "n", href.alias("href"), plain(F.col("link.anchor")).alias("anchor"))
 
 
 class _Reader(HTMLParser):

@@ -62,5 +62,5 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def cleared(log: DataFrame, user_id: int) -> DataFrame:
-    """The log without one user's rows."""
-    return log.where(F.col("user_id") != user_id)
+    """The log without one user's rows; rows of no known user stay."""
+    return log.where(~F.col("user_id").eqNullSafe(F.lit(user_id)))
