@@ -68,7 +68,11 @@ def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns; rows that repeat a kept doc_id with an equal text leave one."""
+    """The rows of docs that exact_dedup keeps, with all their columns; rows that repeat a kept doc_id with an equal text leave one.
+
+    Null and empty texts are one group, of which one row stays; an empty table gives an empty result; columns may have
+    any names.
+    """
     sha, other, own_id = (free_name(docs, x) for x in ("_sha", "_other_sha", "_own_id"))
     kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(other))
     rows = docs.withColumn(sha, F.sha2(normalised(), 256))

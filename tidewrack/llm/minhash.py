@@ -229,7 +229,11 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = PERCENT, bands: int =
 
 
 def keep_smallest(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that near_dedup keeps, with all their columns."""
+    """The rows of docs that near_dedup keeps, with all their columns.
+
+    Rows without words or doc_id stay; rows that repeat a kept doc_id stay all; an empty table gives an empty result;
+    columns may have any names.
+    """
     own_id = free_name(docs, "_own_id")
     kept = near_dedup(docs, k, percent).where("kept").select(F.col("doc_id").alias(own_id)).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own_id)), "left_semi")
@@ -237,3 +241,19 @@ def keep_smallest(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFr
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir), k=4)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Brute force: every pair with a shingle in common, and what can be reached over links.
+OP4_SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {PERCENT} * (a.n + b.n - c)),
+e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+r(id, other) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT id, min(other) AS component FROM r GROUP BY id)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, t.doc_id) AS component_id, t.doc_id = coalesce(c.component, t.doc_id) AS kept
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = t.doc_id
+"""

@@ -212,7 +212,11 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0, sample: int = SAMPLE, keep_at: float = PREDICT_AT, words: int = PASSAGE_WORDS) -> DataFrame:
-    """The rows of docs with a score of keep_at at least, with all their columns; all rows without a model."""
+    """The rows of docs with a score of keep_at at least, with all their columns; all rows without a model.
+
+    Null and empty texts are scored like any; repeated rows are judged alike; an empty table gives an empty result;
+    columns may have any names.
+    """
     model = fit(docs, labels, ~held_out_by(modulus, rest), sample=sample)
     if model is None:
         return docs

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_substring": substring.op9_substring,
     "op10_quality": quality.op10_quality,
 }
-SQL = {"op2_licenses": licenses.OP2_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+SQL = {"op2_licenses": licenses.OP2_SQL, "op4_minhash": minhash.OP4_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
