@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,16 +57,35 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def byte_sums(values: np.ndarray, place: np.ndarray, starts: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of each run of `values` from one start to the next: the sum of a pseudo-random number for each (place in the run, value).
+#: Places of a word whose numbers are looked up; those of later places are computed.
+PLACES = 64
 
-    A value of 0 adds nothing. Unlike a polynomial modulo 2^64, no texts are known that such a sum can't tell apart.
-    """
+
+def _number_of(values: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    """The pseudo-random number of each value (up to 256) at its place; 0 for a value of 0."""
     one = values.astype(_U)
     one *= _U(0xD6E8FEB86659FD93)
     one += place.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(seed * 0xA24BAED4963EE407 % 2**64)
     mix(one)
     one *= values != 0
+    return one
+
+
+@cache
+def _numbers(seed: int) -> np.ndarray:
+    return _number_of(np.tile(np.arange(257), PLACES), np.repeat(np.arange(PLACES), 257), seed)
+
+
+def byte_sums(values: np.ndarray, place: np.ndarray, starts: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each run of `values` from one start to the next: the sum of a pseudo-random number for each (place in the run, value).
+
+    A value of 0 adds nothing. Unlike a polynomial modulo 2^64, no texts are known that such a sum can't tell apart.
+    """
+    late = np.flatnonzero(place >= PLACES)
+    at = np.minimum(place, PLACES - 1) if len(late) else place
+    one = _numbers(seed)[at * 257 + values]
+    if len(late):
+        one[late] = _number_of(values[late], place[late], seed)
     return np.add.reduceat(one, starts)
 
 
