@@ -542,10 +542,11 @@ def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.docs(spark, sf_dir).select("doc_id", F.md5(tx.highlighted(F.col("title"), list(TERMS))).alias("title_md5"))
 
 
-@query("encoding_repair", "SELECT * FROM (VALUES (1, '中'), (2, 'clean'), (3, 'é'), (4, '中文')) t(id, text)")
+@query("encoding_repair", "SELECT doc_id, md5(text) AS text_md5, n_broken FROM (SELECT doc_id, text, octet_length(encode(text)) - length(text) AS n_broken FROM documents)")
 def encoding_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "ä¸\u00ad"), (2, "clean"), (3, "Ã©"), (4, "中文")], "id int, text string")
-    return rows.select("id", tx.repair_encoding("text").alias("text"))
+    """Every text read as Latin-1 by mistake, and repaired; n_broken: the characters that the mistake added."""
+    read = b.table(spark, sf_dir, "documents").withColumn("broken", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"))
+    return read.select("doc_id", F.md5(tx.repair_encoding("broken")).alias("text_md5"), (F.length("broken") - F.length("text")).cast("long").alias("n_broken"))
 
 
 @query("suggest_terms", rf"""WITH {D}, f AS (SELECT unnest(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+')) AS term FROM d),

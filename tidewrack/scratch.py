@@ -25,11 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def own_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, which goes when the application ends: results are lazy and may read it until then."""
+    folder = f"{shared_dir(spark)}/tidewrack/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
+
+
 class Scratch:
     """Tables written in the shared folder: they cut lineage, survive lost executors and can be dropped one by one."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/tidewrack/{label}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, own_folder(spark, label)
         self.n = 0
 
     def table(self, df: DataFrame) -> DataFrame:
@@ -55,7 +65,7 @@ def kept(spark: SparkSession, label: str, source: str, write: Callable[[str], No
     listed = spark.read.parquet(source).inputFiles()
     key = (spark.sparkContext.applicationId, label, source, str(summary.getModificationTime()), str(hash(tuple(sorted(listed)))))
     if key not in _KEPT:
-        folder = f"{shared_dir(spark)}/tidewrack/{label}-{uuid.uuid4().hex}"
+        folder = own_folder(spark, label)
         write(folder)
         _KEPT[key] = folder
     return _KEPT[key]
