@@ -614,6 +614,15 @@ def test_toxicity_counts_copies_once(spark):
     assert got[b"six", 1] == 1 and got[b"five", 1] == 2 and got[b"seven", 1] == 1 and got[b"one", 1] == 3 and got[b"one", 0] == 1
 
 
+def test_toxicity_learns_from_every_labelled_document(spark):
+    texts = {i: f"plain{i} alpha beta gamma" if i < 3300 else f"nasty{i} delta beta" for i in range(3310)}
+    labels = spark.createDataFrame([(i, int(i >= 3300)) for i in texts], "doc_id long, toxic int")
+    scorer = toxicity.fit(make(spark, texts.items()), labels, F.lit(True))
+    own = [t.split()[0].encode() for t in texts.values()]
+    hashes = word_hashes(np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)]), np.zeros(256, bool))[0]
+    assert np.isin(hashes, scorer.models.words).all() and len(scorer.models.words) == len(own) + 4
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     x, first, y = rng.standard_normal((12, 3)).astype(np.float32), np.array([0, 4, 5, 12]), np.array([0, 1, 1], np.float32)

@@ -147,19 +147,23 @@ def bags(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
     return docs.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, passages binary")
 
 
-def training_rows(labels: DataFrame, label: str, learn: Column, sample: int) -> DataFrame:
-    """doc_id, y: at most `sample` rows of each label among those to learn from, the ones whose doc_id hashes smallest.
+def training_rows(labels: DataFrame, label: str, learn: Column, sample: int | None) -> DataFrame:
+    """doc_id, y: all rows to learn from, or at most `sample` of each label, the ones whose doc_id hashes smallest.
 
     A doc_id that is labelled both 0 and 1 is not learned from.
     """
     rows = labels.where(learn & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).alias("other")).where("y = other").select("doc_id", "y")
+    if sample is None:
+        return rows
     one = lambda y: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     return one(0).unionByName(one(1))
 
 
-def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int) -> DataFrame:
+def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column, sample: int | None) -> DataFrame:
     """doc_id, y, text of the documents to learn from; of rows that repeat a doc_id the smallest text."""
-    chosen = F.broadcast(training_rows(labels, label, learn, sample))  # 2 * sample rows at most
+    chosen = training_rows(labels, label, learn, sample)
+    if sample is not None:
+        chosen = F.broadcast(chosen)  # 2 * sample rows at most
     return docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 

@@ -13,11 +13,15 @@ it ends.
 A text's score is a logistic curve of its log-likelihood ratio over its length: of the spelling per word and per root
 of the words, of whole words per word of the strongest hundredth. The first letter of a word is not compared (a
 word's start tells the language). The curve is fitted on documents that the models have not seen (FOLDS parts).
+
+All labelled documents are learned from. Their words and grams are counted on the executors; the driver gathers the
+grams with their counts and a number for each different word, and of the documents sums alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +32,6 @@ from tidewrack.llm.common import LOWER, SIGNS, chunks, documents, mix, spread, t
 from tidewrack.llm.quality import held_out_by, sampled_texts
 from tidewrack.scratch import Scratch
 
-#: Most labelled documents of each label that the fit reads.
-SAMPLE = 3000
 PREDICT_AT = 0.7
 #: Longest and shortest grams (bytes, a word's begin and end included) that each class counts by itself.
 TOP, LOW = 5, 3
@@ -39,7 +41,7 @@ STRETCH = 5
 SHARE, STRONGEST = 100, 3
 #: Most words that a Python worker remembers with their ratios; the scores don't depend on it.
 CACHE_WORDS = 500_000
-#: Parts of the sample; the curve is fitted on each part by models of the others.
+#: Parts of the labelled documents; the curve is fitted on each part by models of the others.
 FOLDS = 4
 BEGIN, END = 1, 2
 _LOWER = np.frombuffer(LOWER, np.uint8)
@@ -69,15 +71,17 @@ def counted(texts: DataFrame) -> DataFrame:
         for batch in batches:
             off, data = text_buffer(batch.column("text"))
             y, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "fold"))
-            for i, j in chunks(off):
+            for i, j in chunks(off, 8 << 20):
                 words, at = word_hashes(data, off[i : j + 1], SIGNS)
                 starts, ends, _ = word_spans(data, off[i : j + 1], SIGNS)
                 n = np.diff(at)
-                bytes_ = binaries(_LOWER[data[spread(starts, ends - starts)]], ends - starts)
-                yield pa.record_batch([pa.array(np.repeat(y[i:j], n)), pa.array(np.repeat(fold[i:j], n)), pa.array(stretches(words, at).view(np.int64)), bytes_], ["y", "fold", "stretch", "word"])
+                order = np.argsort(words, kind="stable")  # equal words in sequence: the shuffle compresses them
+                size = (ends - starts)[order]
+                bytes_ = binaries(_LOWER[data[spread(starts[order], size)]], size)
+                yield pa.record_batch([pa.array(np.repeat(y[i:j], n)[order]), pa.array(np.repeat(fold[i:j], n)[order]), pa.array(stretches(words, at)[order].view(np.int64)), bytes_], ["y", "fold", "stretch", "word"])
 
-    once = texts.select("y", "fold", "text").mapInArrow(run, "y int, fold int, stretch long, word binary").groupBy("y", "stretch").agg(F.min(F.struct("fold", "word")).alias("x"))
-    return once.groupBy("y", "x.word", "x.fold").agg(F.count("*").alias("n")).select("word", "y", "fold", "n")
+    once = texts.select("y", "fold", "text").mapInArrow(run, "y int, fold int, stretch long, word binary").groupBy("y", "word", "stretch").agg(F.min("fold").alias("fold"))
+    return once.groupBy("y", "word", "fold").agg(F.count("*").alias("n")).select("word", "y", "fold", "n")
 
 
 def corpus_words(docs: DataFrame) -> DataFrame:
@@ -114,6 +118,42 @@ def shared_pairs(words: DataFrame) -> np.ndarray:
     return out.reshape(256, 256)
 
 
+#: Columns of a word's or gram's counts in either class (toxic, ordinary) and each fold.
+COUNTS = [f"n{c}_{f}" for c in range(2) for f in range(FOLDS)]
+
+
+def vocabulary(texts: DataFrame, corpus: DataFrame) -> DataFrame:
+    """word, COUNTS, often: the counted words of texts(y, fold, text) and how often corpus(word, n) has each."""
+    own = [F.sum(F.when((F.col("y") == 1 - c) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{c}_{f}") for c in range(2) for f in range(FOLDS)]
+    return counted(texts).groupBy("word").agg(*own).join(corpus.withColumnRenamed("n", "often"), "word")
+
+
+def without_fold(columns: list, fold: int) -> list:
+    """Sums of the columns COUNTS for either class, those of one fold left out (of none: FOLDS)."""
+    return [sum(columns[c * FOLDS + f] for f in range(FOLDS) if f != fold) for c in range(2)]
+
+
+def gram_counts(words: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The longest grams (and those at a word's begin) of words(word, COUNTS), ascending, and their COUNTS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, data = text_buffer(batch.column("word"))
+            lengths = np.diff(off)
+            s, place = framed(data[off[0] : off[-1]], lengths)
+            use = place >= LOW - 1
+            keys, back = np.unique(grams(s, place, TOP)[use], return_inverse=True)
+            owner = np.repeat(np.arange(len(lengths)), lengths + 2)[use]
+            sums = [np.bincount(back, batch.column(c).to_numpy()[owner], len(keys)).astype(np.int64) for c in COUNTS]
+            yield pa.record_batch([pa.array(c) for c in (keys.view(np.int64), *sums)], ["gram", *COUNTS])
+
+    found = words.select("word", *COUNTS).mapInArrow(run, ", ".join(f"{c} long" for c in ("gram", *COUNTS)))
+    found = found.groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS)).toArrow()
+    keys = found.column("gram").to_numpy()
+    order = np.argsort(keys)
+    return keys[order].astype(np.uint64), [found.column(c).to_numpy()[order] for c in COUNTS]
+
+
 # --- the models -------------------------------------------------------------------------------------------
 
 
@@ -137,8 +177,12 @@ def grams(s: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
+    """What is taken from counts of 0, 1, 2 and 3 or more."""
+    return discounts_by([int((counts == k).sum()) for k in range(1, 5)])
+
+
+def discounts_by(n: list[int]) -> np.ndarray:
     """What is taken from counts of 0, 1, 2 and 3 or more, from how many counts of 1 to 4 there are."""
-    n = [int((counts == k).sum()) for k in range(1, 5)]
     out = [0.0]
     for k in (1, 2, 3):
         known = n[0] and n[1] and n[k - 1]
@@ -166,7 +210,11 @@ def levels(s: np.ndarray, place: np.ndarray, counts: np.ndarray) -> list[tuple[n
     """
     use = (place >= LOW - 1) & (counts > 0)
     keys, back = np.unique(grams(s, place, TOP)[use], return_inverse=True)
-    n = np.bincount(back, counts[use], len(keys)).astype(np.int64)
+    return shorter(keys, np.bincount(back, counts[use], len(keys)).astype(np.int64))
+
+
+def shorter(keys: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Grams and counts for LOW to TOP bytes from the longest (and those at a word's begin), ascending, and their occurrences."""
     out = [(keys, n)]
     for size in range(TOP - 1, LOW - 1, -1):
         full = keys >> np.uint64(8 * size) > 0
@@ -203,21 +251,43 @@ def number(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where((at < len(known)) & (known[np.minimum(at, max(0, len(known) - 1))] == x), at, len(known)) if len(known) else np.zeros(len(x), np.int64)
 
 
+class WordShares:
+    """Whole words of both classes, backed off to their share of the corpus; each class has how many words of counts 1 to 4 and its total."""
+
+    def __init__(self, counts_of: list[list[int]], more: list[int], totals: list[int]):
+        self.less = [discounts_by(n) for n in counts_of]
+        taken_off = [less[1] * n[0] + less[2] * n[1] + less[3] * m for less, n, m in zip(self.less, counts_of, more, strict=True)]
+        self.totals = [max(1, t) for t in totals]
+        self.left = [t / total or 1.0 for t, total in zip(taken_off, self.totals, strict=True)]
+        self.other = np.float32(np.log(self.left[0] / self.left[1]))  # of words in neither class
+
+    def ratios(self, counts: np.ndarray, often: np.ndarray) -> np.ndarray:
+        own = [np.log((n - less[np.minimum(n, 3)]) / total + left * often) for n, less, total, left in zip(counts, self.less, self.totals, self.left, strict=True)]
+        return (own[0] - own[1]).astype(np.float32)
+
+
 class Models:
     """Both classes' models; counts: of each word in the toxic (0) and the ordinary class (1); often: each word's share of the corpus."""
 
     def __init__(self, data: np.ndarray, lengths: np.ndarray, counts: np.ndarray, pairs: np.ndarray, often: np.ndarray):
-        self.shared = shared_spelling(pairs)
         s, place = framed(data, lengths)
         both = [levels(s, place, own) for own in np.repeat(counts, lengths + 2, axis=1)]
-        self.levels = [Level(LOW + i, [both[0][i], both[1][i]]) for i in range(TOP - LOW + 1)]
+        shares = WordShares([[int((own == k).sum()) for k in range(1, 5)] for own in counts], [int((own > 2).sum()) for own in counts], [int(own.sum()) for own in counts])
         hashes = word_hashes(data, np.concatenate([[0], np.cumsum(lengths)]), np.zeros(256, bool))[0]
-        d, total = np.stack([taken(own) for own in counts]), np.maximum(counts.sum(axis=1), 1)[:, None]
-        left = d.sum(axis=1, keepdims=True) / total
-        left[left == 0] = 1.0
-        own, order = np.log((counts - d) / total + left * often), np.argsort(hashes)
-        self.words, self.word_ratio = hashes[order], (own[0] - own[1])[order].astype(np.float32)
-        self.other = np.float32(np.log(left[0, 0] / left[1, 0]))  # of words in neither class
+        self._of(both, pairs, hashes, shares.ratios(counts, often), shares.other)
+
+    @classmethod
+    def gathered(cls, both: list, pairs: np.ndarray, hashes: np.ndarray, ratios: np.ndarray, other: np.float32) -> Models:
+        """From what the executors counted: either class's levels, and the words' hashes and ratios."""
+        own = cls.__new__(cls)
+        own._of(both, pairs, hashes, ratios, other)
+        return own
+
+    def _of(self, both: list, pairs: np.ndarray, hashes: np.ndarray, ratios: np.ndarray, other: np.float32) -> None:
+        self.shared = shared_spelling(pairs)
+        self.levels = [Level(LOW + i, [both[0][i], both[1][i]]) for i in range(TOP - LOW + 1)]
+        order = np.argsort(hashes)
+        self.words, self.word_ratio, self.other = hashes[order], ratios[order], other
 
     def spelled(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Log-probability of each word's spelling in either class."""
@@ -282,74 +352,134 @@ class Scorer:
         return self.curve(self.features(data, off))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> np.ndarray:
-    """Weights and, last, the intercept, by Newton steps; both labels weigh the same."""
-    x = np.column_stack([x, np.ones(len(x))])
-    each = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    w, keep = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, decay), 1e-6)
+def sums(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], scale: int) -> list[float]:
+    """Column sums of of(y, x) over rows(y, x): of whole numbers (`scale` to 1), so the order of rows doesn't matter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy().reshape(-1, FEATURES)
+                total = np.rint(of(batch.column("y").to_numpy(), x) * scale).astype(np.int64).sum(axis=0)
+                yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.int64()))], ["total"])
+
+    return [sum(column) / scale for column in zip(*(r.total for r in rows.mapInArrow(run, "total array<long>").collect()), strict=True)]
+
+
+def logistic(rows: DataFrame, decay: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights and, last, the intercept, by Newton steps over rows(y, x); center and scale of x; both labels weigh the same.
+
+    Of the rows only sums reach the driver.
+    """
+    found = np.array(sums(rows, lambda y, x: np.column_stack([y == 1, y != 1, x]), 1 << 24))
+    n = found[:2]
+    center = found[2:] / n.sum()
+    scale = np.sqrt(np.array(sums(rows, lambda y, x: (x - center) ** 2, 1 << 24)) / n.sum()) + 1e-6
+    size = FEATURES + 1
+    w, keep = np.zeros(size), np.append(np.full(FEATURES, decay), 1e-6)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (each * (p * (1 - p) + 1e-6))) @ x + np.diag(keep), x.T @ (each * (p - y)) + keep * w)
-        w -= step
+
+        def parts(y: np.ndarray, x: np.ndarray, w: np.ndarray = w) -> np.ndarray:
+            x = np.column_stack([np.clip((x - center) / scale, -6, 6), np.ones(len(x))])
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            both = np.column_stack([(p * (1 - p) + 1e-6)[:, None] * (x[:, :, None] * x[:, None, :]).reshape(len(x), -1), x * (p - y)[:, None]])
+            return np.column_stack([both * (y == 1)[:, None], both * (y != 1)[:, None]])
+
+        found = np.array(sums(rows, parts, 1 << 32)).reshape(2, -1)
+        found = (found * (0.5 / np.maximum(1, n))[:, None]).sum(axis=0)
+        step = np.linalg.solve(found[: size * size].reshape(size, size) + np.diag(keep), found[size * size :] + keep * w)
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return w, center, scale
+
+
+def featured(texts: DataFrame, scorer: Scorer) -> DataFrame:
+    """y, x: the features of each of texts(y, text)."""
+    held = texts.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, data = text_buffer(batch.column("text"))
+            for i, j in chunks(off):
+                x = held.value.features(data, off[i : j + 1])
+                yield pa.record_batch([batch.column("y").slice(i, j - i), pa.array(x.tolist(), pa.list_(pa.float64()))], ["y", "x"])
 
+    return texts.select("y", "text").mapInArrow(run, "y int, x array<double>")
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample: int = SAMPLE) -> Scorer | None:
+
+def word_shares(words: DataFrame) -> list[WordShares]:
+    """Of words(COUNTS), without each fold and, last, with all."""
+    asked = []
+    for f in range(FOLDS + 1):
+        for n in without_fold([F.col(c) for c in COUNTS], f):
+            asked += [F.count(F.when(n == k, 1)) for k in range(1, 5)] + [F.count(F.when(n > 2, 1)), F.coalesce(F.sum(n), F.lit(0))]
+    found = words.agg(*(a.alias(f"a{i}") for i, a in enumerate(asked))).first()
+    rows = [list(found[i : i + 6]) for i in range(0, len(found), 6)]
+    return [WordShares([r[:4] for r in two], [r[4] for r in two], [r[5] for r in two]) for two in zip(rows[::2], rows[1::2], strict=True)]
+
+
+def word_ratios(words: DataFrame, shares: WordShares, total: int, fold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and ratios of words(word, COUNTS, often) that either class has without the fold; the others have shares.other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, data = text_buffer(batch.column("word"))
+            counts = np.stack(without_fold([batch.column(c).to_numpy() for c in COUNTS], fold))
+            known = counts.any(axis=0)
+            hashes = word_hashes(data, off, np.zeros(256, bool))[0]
+            ratios = shares.ratios(counts[:, known], batch.column("often").to_numpy()[known] / total)
+            yield pa.record_batch([pa.array(hashes[known].view(np.int64)), pa.array(ratios)], ["hash", "ratio"])
+
+    found = words.mapInArrow(run, "hash long, ratio float").toArrow()
+    return found.column("hash").to_numpy().view(np.uint64), found.column("ratio").to_numpy()
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic") -> Scorer | None:
     """None if there are not two documents of each label to learn from.
 
-    On the driver: the sample's vocabulary with its counts, 65,536 shared counts, and FEATURES numbers for each
-    document of the sample; no text.
+    On the driver: of the labelled documents' words a hash and a ratio each, their grams with counts, 65,536 shared
+    counts, and sums over the documents' features; no text.
     """
     fold = F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(FOLDS)).cast("int").alias("fold")
     scratch = Scratch(docs.sparkSession, "toxicity")
-    texts = scratch.table(sampled_texts(docs, labels, label, learn, sample).select("y", fold, "text"))
-    rows = {(r.y, r.fold): r.n for r in texts.groupBy("y", "fold").agg(F.count("*").alias("n")).collect()}
-    if min(sum(n for (y, _), n in rows.items() if y == c) for c in (0, 1)) < 2:
+    texts = scratch.table(sampled_texts(docs, labels, label, learn, None).select("y", fold, "text"))
+    rows = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if min(rows.get(y, 0) for y in (0, 1)) < 2:
         return None
     corpus = scratch.table(corpus_words(docs))
     total = corpus.agg(F.sum("n")).first()[0]
-    table = counted(texts).join(corpus.withColumnRenamed("n", "often"), "word").toArrow().combine_chunks()
-    if not table.num_rows:
+    words = scratch.table(vocabulary(texts, corpus))
+    keys, counts = gram_counts(words)
+    if not len(keys):
         return None
-    words = table.column("word").combine_chunks().dictionary_encode()
-    off, data = text_buffer(words.dictionary)
-    data, lengths = data[off[0] : off[-1]], np.diff(off)
-    counts = np.zeros((FOLDS, 2, len(lengths)), np.int64)  # fold, class, word
-    np.add.at(counts, (table.column("fold").to_numpy(), 1 - table.column("y").to_numpy(), words.indices.to_numpy()), table.column("n").to_numpy())
-    often = np.zeros(len(lengths))
-    often[words.indices.to_numpy()] = table.column("often").to_numpy() / total
-    del table, words
     pairs = shared_pairs(corpus)
     scratch.drop(corpus)
-    plain = np.append(np.zeros(FEATURES), 0.0), np.zeros(FEATURES), np.ones(FEATURES)
-    folds = docs.sparkSession.sparkContext.broadcast([Scorer(Models(data, lengths, counts.sum(axis=0) - counts[f], pairs, often), *plain) for f in range(FOLDS)])
+    shares = word_shares(words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            off, data = text_buffer(batch.column("text"))
-            for n, fold in enumerate(batch.column("fold").to_pylist()):
-                x = folds.value[fold].features(data, off[n : n + 2])
-                yield pa.record_batch([batch.column("y").slice(n, 1), pa.array([x[0].tolist()], pa.list_(pa.float64()))], ["y", "x"])
+    def models(fold: int) -> Models:
+        both = [shorter(keys[n > 0], n[n > 0]) for n in without_fold(counts, fold)]
+        return Models.gathered(both, pairs, *word_ratios(words, shares[fold], total, fold), shares[fold].other)
 
-    found = sorted(texts.select("y", "fold", "text").mapInArrow(run, "y int, x array<double>").collect(), key=lambda r: (r.y, r.x))
-    x, y = np.array([r.x for r in found]), np.array([r.y for r in found])
+    plain = np.append(np.zeros(FEATURES), 0.0), np.zeros(FEATURES), np.ones(FEATURES)
+    parts = [scratch.table(featured(texts.where(F.col("fold") == f), Scorer(models(f), *plain))) for f in range(FOLDS)]
     scratch.drop(texts)
-    center, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    return Scorer(Models(data, lengths, counts.sum(axis=0), pairs, often), logistic(np.clip((x - center) / scale, -6, 6), y), center, scale)
+    curve = logistic(reduce(DataFrame.unionByName, parts).coalesce(FOLDS))
+    whole = models(FOLDS)
+    for table in (words, *parts):
+        scratch.drop(table)
+    return Scorer(whole, *curve)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, rest: int = 1, sample: int = SAMPLE, predict_at: float = PREDICT_AT) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, rest: int = 1, predict_at: float = PREDICT_AT) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs(doc_id, text, ...), by models that learn from labels whose crc32(doc_id as text) mod `modulus` is not `rest`.
 
     Null and empty texts have no words and get the score of ratios of 0. A null doc_id is not held out. Without two
     documents of each label every score is 0.5; a doc_id with both labels is not learned from. Repeated rows each give
-    a row, an empty table none; further columns are not read. What is sent to every task is bounded by the sample: its
-    vocabulary and grams.
+    a row, an empty table none; further columns are not read. What is sent to every task: the grams of the
+    labelled documents and 12 bytes for each of their different words.
     """
     held_out = held_out_by(modulus, rest)
-    scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, ~held_out, sample=sample))
+    scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, ~held_out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer.value
