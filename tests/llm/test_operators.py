@@ -463,6 +463,19 @@ def test_substring_passages_late_in_a_source_that_has_their_lines_before(spark):
     assert {(r.doc_id, r.start_word, r.end_word, r.source_doc_id, r.source_start) for r in rows} >= {(2, 40, 103, 1, 126)}
 
 
+def test_substring_exact_repeats_of_which_earlier_documents_have_all_but_a_word(spark):
+    rng = np.random.default_rng(22)
+    texts, size = {}, 50
+    for n in range(0, 400, 20):
+        passage = prose(rng, size + n // 20 % 3).split()
+        pieces = [passage[i : i + size - 1] for i in range(len(passage) - size + 2)]
+        texts |= {n + i: f"{prose(rng, 60)} {' '.join(p)} {prose(rng, 60)}" for i, p in enumerate(pieces)}
+        texts |= {n + i: f"{prose(rng, 60)} {' '.join(passage)} {prose(rng, 60)}" for i in (10, 11, 12)}
+    rows = substring.repeated_passages(make(spark, texts.items())).collect()
+    assert {(r.doc_id, r.start_word, r.end_word) for r in rows} == {(n + i, 60, 60 + size + n // 20 % 3) for n in range(0, 400, 20) for i in (11, 12)}
+    assert all(r.source_doc_id % 20 in (10, 11) and r.source_start == 60 for r in rows)
+
+
 def test_substring_finds_every_passage_of_the_stated_similarity(spark):
     """Five-word shingles similar to 0.8: a changed, lost or added word for each 54 words (what lies beyond a change at the edge may go)."""
     rng = np.random.default_rng(15)
