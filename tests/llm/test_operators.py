@@ -476,6 +476,19 @@ def test_substring_exact_repeats_of_which_earlier_documents_have_all_but_a_word(
     assert all(r.source_doc_id % 20 in (10, 11) and r.source_start == 60 for r in rows)
 
 
+def test_pipeline_cuts_repeats_of_which_earlier_documents_have_all_but_a_word(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(23)
+    texts, want = {}, {}
+    for n in range(0, 200, 20):
+        passage, before, behind = prose(rng, 50).split(), prose(rng, 60), prose(rng, 60)
+        texts |= {n + i: f"{prose(rng, 60)} {' '.join(passage[i : i + 49])} {prose(rng, 60)}" for i in (0, 1)}
+        texts |= {n + 10: f"{prose(rng, 60)} {' '.join(passage)} {prose(rng, 60)}", n + 11: f"{before} {' '.join(passage)} {behind}"}
+        want |= {n + i: texts[n + i].split() for i in (0, 1, 10)} | {n + 11: f"{before} {behind}".split()}
+    left = pipeline.substring_stage(spark, make(spark, texts.items()), SF).collect()
+    assert {r.doc_id: r.text.split() for r in left} == want
+
+
 def test_substring_finds_every_passage_of_the_stated_similarity(spark):
     """Five-word shingles similar to 0.8: a changed, lost or added word for each 54 words (what lies beyond a change at the edge may go)."""
     rng = np.random.default_rng(15)
