@@ -489,6 +489,18 @@ def test_pipeline_cuts_repeats_of_which_earlier_documents_have_all_but_a_word(sp
     assert {r.doc_id: r.text.split() for r in left} == want
 
 
+def test_substring_seeds_of_a_common_passage_meet_their_first_document_in_one_row(spark):
+    rng = np.random.default_rng(24)
+    passage = prose(rng, 80)
+    docs = make(spark, [(i, f"{prose(rng, 60)} {passage} {prose(rng, 60)}") for i in range(60)])
+    long = substring.seeds(docs, 5, 10, 50, 27).where("whole").select("seed", "doc_id", "pos")
+    held = substring.repeated_passages(docs).select("doc_id", "start_word", "end_word").distinct()
+    left = {r.seed: r.open for r in substring.open_seeds(long, held, 50, 27).collect()}
+    shared = [r.seed for r in long.groupBy("seed").count().where("count = 60").collect()]
+    assert len(shared) > 1 and {left.get(seed, 0) for seed in shared} <= {0, 59}  # the first document's at least, as it has no span
+    assert substring.open_seeds(long, held, 50, 27).count() == len(left)
+
+
 def test_substring_finds_every_passage_of_the_stated_similarity(spark):
     """Five-word shingles similar to 0.8: a changed, lost or added word for each 54 words (what lies beyond a change at the edge may go)."""
     rng = np.random.default_rng(15)
