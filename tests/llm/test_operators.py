@@ -489,6 +489,22 @@ def test_pipeline_cuts_repeats_of_which_earlier_documents_have_all_but_a_word(sp
     assert {r.doc_id: r.text.split() for r in left} == want
 
 
+@pytest.mark.parametrize("common", [0, substring.COMMON])
+def test_substring_changed_passages_of_which_earlier_documents_have_every_seed(spark, common, monkeypatch):
+    """Documents before have all 30 words in sequence of the passage, so each seed's first document is another than the source; by joins and in blocks alike."""
+    monkeypatch.setattr(substring.run_matches, "__defaults__", (common, 4))
+    rng = np.random.default_rng(25)
+    texts, want = {}, set()
+    for n in range(0, 600, 60):
+        passage = prose(rng, 56).split()
+        texts |= {n + i: f"{prose(rng, 60)} {' '.join(passage[i : i + 30])} {prose(rng, 60)}" for i in range(27)}
+        edited = [*passage[:28], "changed", *passage[29:]]
+        texts |= {n + 30: f"{prose(rng, 70)} {' '.join(passage)} {prose(rng, 50)}", n + 31: f"{prose(rng, 50)} {' '.join(edited)} {prose(rng, 50)}"}
+        want.add((n + 31, 50, 106, 55, n + 30, 70, 126))
+    rows = substring.repeated_passages(make(spark, texts.items())).collect()
+    assert {tuple(r) for r in rows} == want
+
+
 def test_substring_seeds_of_a_common_passage_meet_their_first_document_in_one_row(spark):
     rng = np.random.default_rng(24)
     passage = prose(rng, 80)
