@@ -489,6 +489,23 @@ def test_pipeline_cuts_repeats_of_which_earlier_documents_have_all_but_a_word(sp
     assert {r.doc_id: r.text.split() for r in left} == want
 
 
+def test_substring_windows_of_a_common_passage_are_taken_once(spark, monkeypatch):
+    rng = np.random.default_rng(26)
+    passage = prose(rng, 90)
+    docs = make(spark, [(i, f"{prose(rng, 60)} {passage} {prose(rng, 60)}") for i in range(40)])
+    repeated, table = [], substring.Scratch.table
+
+    def counted(self, df):
+        out = table(self, df)
+        if df.columns == ["doc_id", "pos", "window"]:
+            repeated.append(out.groupBy("window").count().where("count > 1").count())
+        return out
+
+    monkeypatch.setattr(substring.Scratch, "table", counted)
+    assert {r.doc_id for r in substring.repeated_passages(docs).collect() if r.start_word <= 60 and r.end_word >= 150} == set(range(1, 40))
+    assert repeated[0] < 10  # of the 41 windows of the passage none; what stands beside it may agree by chance
+
+
 @pytest.mark.parametrize("common", [0, substring.COMMON])
 def test_substring_changed_passages_of_which_earlier_documents_have_every_seed(spark, common, monkeypatch):
     """Documents before have all 30 words in sequence of the passage, so each seed's first document is another than the source; by joins and in blocks alike."""
