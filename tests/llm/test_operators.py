@@ -685,6 +685,27 @@ def test_toxicity_counts_copies_once(spark):
     assert got[b"six", 1] == 1 and got[b"five", 1] == 2 and got[b"seven", 1] == 1 and got[b"one", 1] == 3 and got[b"one", 0] == 1
 
 
+def test_toxicity_words_travel_in_ten_bytes_a_stretch(spark):
+    """Counts equal those of dictionaries; what is shuffled of a stretch is its hash and a share of its word."""
+    rng = np.random.default_rng(27)
+    words = [f"word{i}" for i in range(300)]
+    rows = [(int(i % 9 == 0), i % 4, " ".join(rng.choice(words, 400))) for i in range(300)]
+    rows += [(y, (fold + 1) % 4, text) for y, fold, text in rows[:100]]
+    first = {}
+    for y, fold, text in rows:
+        w = text.split()
+        for i in range(len(w)):
+            key = y, w[i], tuple(w[max(0, i - 4) : i + 1]), min(i, 5)
+            first[key] = min(fold, first.get(key, fold))
+    want = {}
+    for (y, word, *_), fold in first.items():
+        want[word, y, fold] = want.get((word, y, fold), 0) + 1
+    texts = spark.createDataFrame(rows, "y int, fold int, text string").coalesce(1)
+    assert {(r.word.decode(), r.y, r.fold): r.n for r in toxicity.counted(texts).collect()} == want
+    sent = toxicity.packed(texts, 6).selectExpr("sum(length(words) + length(sizes) + length(follows) + length(stretches))").first()[0]
+    assert sent < 10 * 400 * len(rows)
+
+
 def test_toxicity_learns_from_every_labelled_document(spark):
     texts = {i: f"plain{i} alpha beta gamma" if i < 3300 else f"nasty{i} delta beta" for i in range(3310)}
     labels = spark.createDataFrame([(i, int(i >= 3300)) for i in texts], "doc_id long, toxic int")

@@ -64,8 +64,24 @@ def stretches(words: np.ndarray, at: np.ndarray, size: int = STRETCH) -> np.ndar
     return mix(out)
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """word, y, fold, n: how many different stretches of texts(y, fold, text) of a label each word ends."""
+#: Columns of a word's or gram's counts in either class (toxic, ordinary) and each fold.
+COUNTS = [f"n{c}_{f}" for c in range(2) for f in range(FOLDS)]
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, codec="zstd"), kind) if n else np.zeros(0, kind)
+
+
+#: What travels to a bucket of stretches: its different words, how long they are, how often each follows, and 64 bits a stretch.
+PACKED = "bucket int, n int, bytes long, words binary, sizes binary, follows binary, stretches binary"
+
+
+def packed(texts: DataFrame, bits: int) -> DataFrame:
+    """PACKED: the words of texts(y, fold, text) by the first bits of their stretches' hashes, in which y and fold then stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,14 +90,67 @@ def counted(texts: DataFrame) -> DataFrame:
             for i, j in chunks(off, 8 << 20):
                 words, at = word_hashes(data, off[i : j + 1], SIGNS)
                 starts, ends, _ = word_spans(data, off[i : j + 1], SIGNS)
-                n = np.diff(at)
-                order = np.argsort(words, kind="stable")  # equal words in sequence: the shuffle compresses them
-                size = (ends - starts)[order]
-                bytes_ = binaries(_LOWER[data[spread(starts[order], size)]], size)
-                yield pa.record_batch([pa.array(np.repeat(y[i:j], n)[order]), pa.array(np.repeat(fold[i:j], n)[order]), pa.array(stretches(words, at)[order].view(np.int64)), bytes_], ["y", "fold", "stretch", "word"])
+                code = np.repeat((y[i:j] * FOLDS + fold[i:j]).astype(np.uint64), np.diff(at))
+                value = stretches(words, at)
+                bucket = (value >> np.uint64(64 - bits)).astype(np.int64)
+                value = (value & np.uint64(2 ** (64 - bits) - 1)) | code << np.uint64(64 - bits)
+                order = np.lexsort((words, bucket))
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = (words[order][1:] != words[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])
+                each = np.flatnonzero(fresh)
+                size, follows = (ends - starts)[order[each]], np.diff(np.append(each, len(order)))
+                chars = _LOWER[data[spread(starts[order[each]], size)]]
+                byte_at = np.concatenate([[0], np.cumsum(size)])
+                rows: list[tuple] = []
+                edges = np.flatnonzero(np.diff(bucket[order[each]], prepend=-1))
+                for a, b in zip(edges.tolist(), np.append(edges[1:], len(each)).tolist(), strict=True):
+                    own = value[order[each[a] : each[b] if b < len(each) else len(order)]]
+                    sized = squeezed(size[a:b].astype(np.uint32)), squeezed(follows[a:b].astype(np.uint32))
+                    rows.append((int(bucket[order[each[a]]]), b - a, int(byte_at[b] - byte_at[a]), squeezed(chars[byte_at[a] : byte_at[b]]), *sized, own.tobytes()))
+                types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], [c.split()[0] for c in PACKED.split(", ")])
+
+    return texts.select("y", "fold", "text").mapInArrow(run, PACKED)
+
+
+#: Bytes of text for each bucket, and the fewest buckets in bits (y and fold need three).
+BUCKET_BYTES, LEAST_BITS = 8 << 20, 6
+
+
+def fold_counts(texts: DataFrame) -> DataFrame:
+    """word, COUNTS: how many different stretches of texts(y, fold, text) of a label each word ends; a stretch counts in the smallest of its folds.
+
+    Each word travels once for its stretches of a bucket. A bucket has its share of every word's stretches, so a
+    frequent word is no hot key; a word may have a row from each bucket.
+    """
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(LEAST_BITS, (total // BUCKET_BYTES).bit_length())
+
+    def count(table: pa.Table) -> pa.Table:
+        parts, follows, values = [], [], []
+        for row in table.select(["n", "bytes", "words", "sizes", "follows", "stretches"]).to_pylist():
+            parts.append(binaries(unsqueezed(row["words"], row["bytes"], np.uint8), unsqueezed(row["sizes"], row["n"], np.uint32)))
+            follows.append(unsqueezed(row["follows"], row["n"], np.uint32))
+            values.append(np.frombuffer(row["stretches"], np.uint64))
+        words = pa.concat_arrays(parts).dictionary_encode()
+        owner, value = np.repeat(words.indices.to_numpy().astype(np.int64), np.concatenate(follows)), np.concatenate(values)
+        code = (value >> np.uint64(64 - bits)).astype(np.int64)
+        value = value & np.uint64(2 ** (64 - bits) - 1)
+        own = owner * 2 + code // FOLDS
+        order = np.lexsort((code, value, own))
+        once = np.ones(len(order), bool)
+        once[1:] = (own[order][1:] != own[order][:-1]) | (value[order][1:] != value[order][:-1])
+        kept = order[once]
+        n = np.bincount(owner[kept] * 2 * FOLDS + code[kept], minlength=len(words.dictionary) * 2 * FOLDS).reshape(-1, 2, FOLDS)
+        return pa.table([words.dictionary, *(pa.array(n[:, 1 - c, f].astype(np.int64)) for c in range(2) for f in range(FOLDS))], names=["word", *COUNTS])
+
+    return packed(texts, bits).groupBy("bucket").applyInArrow(count, ", ".join(["word binary", *(f"{c} long" for c in COUNTS)]))
 
-    once = texts.select("y", "fold", "text").mapInArrow(run, "y int, fold int, stretch long, word binary").groupBy("y", "word", "stretch").agg(F.min("fold").alias("fold"))
-    return once.groupBy("y", "word", "fold").agg(F.count("*").alias("n")).select("word", "y", "fold", "n")
+
+def counted(texts: DataFrame) -> DataFrame:
+    """word, y, fold, n: how many different stretches of texts(y, fold, text) of a label each word ends."""
+    each = F.array(*(F.struct(F.lit(1 - c).alias("y"), F.lit(f).alias("fold"), F.sum(f"n{c}_{f}").alias("n")) for c in range(2) for f in range(FOLDS)))
+    return fold_counts(texts).groupBy("word").agg(each.alias("c")).select("word", F.explode("c").alias("c")).select("word", "c.y", "c.fold", "c.n").where("n > 0")
 
 
 def corpus_words(docs: DataFrame) -> DataFrame:
@@ -118,14 +187,9 @@ def shared_pairs(words: DataFrame) -> np.ndarray:
     return out.reshape(256, 256)
 
 
-#: Columns of a word's or gram's counts in either class (toxic, ordinary) and each fold.
-COUNTS = [f"n{c}_{f}" for c in range(2) for f in range(FOLDS)]
-
-
 def vocabulary(texts: DataFrame, corpus: DataFrame) -> DataFrame:
     """word, COUNTS, often: the counted words of texts(y, fold, text) and how often corpus(word, n) has each."""
-    own = [F.sum(F.when((F.col("y") == 1 - c) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{c}_{f}") for c in range(2) for f in range(FOLDS)]
-    return counted(texts).groupBy("word").agg(*own).join(corpus.withColumnRenamed("n", "often"), "word")
+    return fold_counts(texts).groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)).join(corpus.withColumnRenamed("n", "often"), "word")
 
 
 def without_fold(columns: list, fold: int) -> list:
