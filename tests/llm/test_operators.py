@@ -534,6 +534,25 @@ def test_substring_seeds_of_a_common_passage_meet_their_first_document_in_one_ro
     assert substring.open_seeds(long, held, 50, 27).count() == len(left)
 
 
+def test_substring_seeds_within_equal_spans_are_not_taken_again(spark, monkeypatch):
+    """Pieces of a common passage leave its seeds open in their documents; of the others only the first has windows to compare."""
+    rng = np.random.default_rng(27)
+    passage = prose(rng, 120).split()
+    texts = {i: f"{prose(rng, 60)} {' '.join(passage)} {prose(rng, 60)}" for i in range(40)}
+    texts |= {i: f"{prose(rng, 60)} {' '.join(passage[3 * i - 90 : 3 * i - 50])} {prose(rng, 60)}" for i in range(40, 46)}
+    taken, whole = [], substring.whole_windows
+
+    def counted(docs, *sizes):
+        inner = F.col("pos").between(83, 130)  # all windows around lie within the passage
+        taken.extend(r.doc_id for r in docs.select("doc_id", F.explode("at").alias("pos")).where(inner).collect())
+        return whole(docs, *sizes)
+
+    monkeypatch.setattr(substring, "whole_windows", counted)
+    rows = substring.repeated_passages(make(spark, texts.items())).collect()
+    assert {r.doc_id for r in rows if r.start_word <= 60 and r.end_word >= 180} == set(range(1, 40))
+    assert 0 in taken and not set(taken) & set(range(1, 40))
+
+
 def test_substring_finds_every_passage_of_the_stated_similarity(spark):
     """Five-word shingles similar to 0.8: a changed, lost or added word for each 54 words (what lies beyond a change at the edge may go)."""
     rng = np.random.default_rng(15)
