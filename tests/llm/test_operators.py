@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -553,6 +554,37 @@ def test_substring_seeds_within_equal_spans_are_not_taken_again(spark, monkeypat
     assert 0 in taken and not set(taken) & set(range(1, 40))
 
 
+def test_shuffle_files_go_once_a_scratch_table_is_written(spark):
+    blocks = lambda: {b for b in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    before, scratch = blocks(), Scratch(spark, "shuffles")
+    out = scratch.table(spark.range(100_000).selectExpr("id % 1000 as k", "id").groupBy("k").agg(F.max("id").alias("m")).join(spark.range(1000).toDF("k").repartition(3, "k"), "k"))
+    for _ in range(50):  # they go in the background
+        if not (left := blocks() - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 1000
+    scratch.drop(out)
+
+
+def test_substring_stretches_left_out_reach_no_passage():
+    rng = np.random.default_rng(28)
+    lines = [rng.integers(2, 2**63, n).astype(np.uint64) for n in (25, 27, 30, 33, 8, 6)]
+    short, long = 0, 0
+    for _ in range(60):
+        texts = []
+        for _ in range(2):
+            parts = [x for _ in range(12) for x in (lines[rng.integers(6)], rng.integers(2, 2**63, rng.integers(0, 9)).astype(np.uint64))]
+            texts.append(np.concatenate(parts))
+        a, b = texts
+        x, y = np.nonzero(substring.windows(a, 25)[:, None] == substring.windows(b, 25)[None, :])
+        may = substring.may_reach(a, b, x, y, np.full(len(x), 25), 50, 60)
+        for i in range(len(x)):
+            _, same, places = substring.align(a, b, [x[i], x[i] + 20], [y[i], y[i] + 20], 5)
+            assert may[i] or len(same) < 50
+            short, long = short + (not may[i]), long + (len(same) >= 50)
+    assert short > 100 and long > 100
+
+
 def test_substring_finds_every_passage_of_the_stated_similarity(spark):
     """Five-word shingles similar to 0.8: a changed, lost or added word for each 54 words (what lies beyond a change at the edge may go)."""
     rng = np.random.default_rng(15)
