@@ -1,6 +1,8 @@
 """Hand-made corpus: scores by hand, predicates, diversity, snippets, the parts of the search in one plan."""
 
 import datetime as dt
+import random
+import re
 from math import log, sqrt
 
 import pytest
@@ -204,3 +206,49 @@ def test_title_boost_of_patterns(docs):
     rows = {r.doc_id: r for r in search(docs, "libr*").collect()}
     assert rows[2].signals.title_hit and not rows[1].signals.title_hit
     assert {r.doc_id: r.signals.title_hit for r in search(docs, "/Exam n/").collect()} == {1: True}
+
+
+def shuffled(spark, run):
+    """Bytes that run() shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    empty = spark._jvm.java.util.ArrayList()
+    total = lambda: sum(s.shuffleWriteBytes() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc.statusStore().stageList(empty, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), empty)))
+    before = total()
+    run()
+    sc.listenerBus().waitUntilEmpty()
+    return total() - before
+
+
+def made_up(spark, n, size):
+    """n documents of `size` words, half of them in no other."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice("of the a in to".split()) if rng.random() < 0.5 else f"w{rng.getrandbits(40):x}" for _ in range(size))) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, body string").repartition(4)
+
+
+def test_stored_index_is_made_where_documents_are(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "SEGMENT", 4000)
+    monkeypatch.setattr(index, "HOT_TERMS", 3)
+    rows = [(i, f"{'Of the library' if i % 3 else '图书 of'} x{i % 7}", f"The rules of it {'exam ' * (i % 4)}x{i} 选课 y{i % 5}") for i in range(300)]
+    rows += [(7, "again of the", "of of 选课"), (8, None, None), (9, "", ""), (None, "of no one", "the same")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, body string")
+    fields = {"title": "title", "body": "body"}
+    index.store_index(docs, fields, str(tmp_path), ("smooth", "ltc"))
+    for mode in ("smooth", "ltc"):
+        stored, built = index.stored_index(spark, str(tmp_path), mode), index.build_index(docs, fields, mode, positions=True)
+        for part, key in (("postings", ("term", "doc_id", "field")), ("stats", ("term",)), ("norms", ("doc_id", "field"))):
+            mine, theirs = ({tuple(r[k] for k in key): [round(x, 9) if isinstance(x, float) else x for x in r.asDict().values()] for r in ix[part].select(*key, *(c for c in sorted(built[part].columns) if c not in key)).collect()} for ix in (stored, built))
+            assert mine == theirs, part
+    files = stored["postings"].select("doc_id", "term", F.input_file_name().alias("file"))
+    assert files.select("file").distinct().count() > 2
+    assert files.select("doc_id", "file").distinct().count() == files.select("doc_id").distinct().count()  # a document lies in one segment
+    for (file,) in files.select("file").distinct().collect():
+        terms = [r.term.encode() for r in spark.read.parquet(file).select("term").collect()]
+        assert terms == sorted(terms)
+
+
+def test_index_shuffles_texts_and_their_rare_words_at_most(spark, tmp_path):
+    docs = made_up(spark, 400, 500)
+    size = docs.agg(F.sum(F.length("body"))).first()[0]
+    assert shuffled(spark, lambda: index.store_index(docs, {"body": "body"}, str(tmp_path), ("smooth", "ltc"))) < 3.5 * size

@@ -29,9 +29,6 @@ def field_cosines(ix: dict[str, DataFrame], terms: list[str], mode: str = "smoot
     """doc_id, field, sim of documents with a query term; 0 where a norm is 0."""
     q = query_vector(ix["stats"], terms, mode)
     hits = ix["postings"].where(F.col("term").isin(*set(terms))) if terms else ix["postings"].limit(0)
-    if "norm" in ix["postings"].columns:  # a stored index
-        sums = hits.join(F.broadcast(q), "term").groupBy("doc_id", "field").agg(F.sum(F.col("wq") * index.weight(F.col("tf"), F.col("idf"))).alias("dot"), F.max("q_norm").alias("q_norm"), F.max("norm").alias("norm"))
-        return sums.select("doc_id", "field", F.coalesce(F.try_divide(F.col("dot"), F.col("q_norm") * F.col("norm")), F.lit(0.0)).alias("sim"))
     dots = hits.join(F.broadcast(q), "term").groupBy("doc_id", "field").agg(F.sum(F.col("wq") * index.weight(F.col("tf"), F.col("idf"))).alias("dot"), F.max("q_norm").alias("q_norm"))
     return dots.join(ix["norms"], ["doc_id", "field"]).select("doc_id", "field", F.coalesce(F.try_divide(F.col("dot"), F.col("q_norm") * F.col("norm")), F.lit(0.0)).alias("sim"))
 

@@ -29,8 +29,11 @@ def has_phrase(text: Column, phrase: str) -> Column:
 
 def wildcard_pattern(term: str) -> str:
     """* any run and ? one letter or number, as a regular expression for a whole token."""
-    inner = "".join(f"{WORD}*" if c == "*" else WORD if c == "?" else re.escape(c) for c in term.lower())
-    return f"(^|[^\\p{{L}}\\p{{N}}]){inner}($|[^\\p{{L}}\\p{{N}}])"
+    return f"(^|[^\\p{{L}}\\p{{N}}]){whole_term(term)}($|[^\\p{{L}}\\p{{N}}])"
+
+
+def whole_term(term: str) -> str:
+    return "".join(f"{WORD}*" if c == "*" else WORD if c == "?" else re.escape(c) for c in term.lower())
 
 
 def has_wildcard(text: Column, term: str) -> Column:
@@ -76,10 +79,10 @@ def phrase_hits(postings: DataFrame, phrase: str) -> DataFrame:
 
 
 def wildcard_hits(ix: dict[str, DataFrame], term: str) -> DataFrame:
-    """doc_id of documents with a term of the wildcard: the vocabulary is scanned (from its fixed beginning on), then the terms' postings."""
+    """doc_id of documents with a term of the wildcard: the postings' terms are matched where they lie, from the wildcard's fixed beginning on."""
     head = re.split(r"[*?]", term.lower())[0]
-    terms = vocabulary_matches(ix["stats"].where(F.startswith("term", F.lit(head))), term)
-    return ix["postings"].select("term", "doc_id").join(terms, "term", "left_semi").select("doc_id").distinct()
+    own = ix["postings"].select("term", "doc_id").where(F.startswith("term", F.lit(head)))
+    return own.where(F.rlike("term", F.lit(f"^{whole_term(term)}$"))).select("doc_id").distinct()
 
 
 def indexed(term: str) -> bool:
@@ -98,8 +101,7 @@ def phrase_by_positions(tokens: DataFrame, phrase: list[str]) -> DataFrame:
 
 def vocabulary_matches(stats: DataFrame, term: str) -> DataFrame:
     """Vocabulary terms of a wildcard: the vocabulary is scanned, not the texts."""
-    inner = "".join(f"{WORD}*" if c == "*" else WORD if c == "?" else re.escape(c) for c in term.lower())
-    return stats.where(F.rlike("term", F.lit(f"^{inner}$"))).select("term")
+    return stats.where(F.rlike("term", F.lit(f"^{whole_term(term)}$"))).select("term")
 
 
 def candidates(postings: DataFrame, terms: list[str]) -> DataFrame:
