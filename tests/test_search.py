@@ -252,3 +252,15 @@ def test_index_shuffles_texts_and_their_rare_words_at_most(spark, tmp_path):
     docs = made_up(spark, 400, 500)
     size = docs.agg(F.sum(F.length("body"))).first()[0]
     assert shuffled(spark, lambda: index.store_index(docs, {"body": "body"}, str(tmp_path), ("smooth", "ltc"))) < 3.5 * size
+
+
+def test_personal_scores_shuffle_no_texts(spark):
+    docs = made_up(spark, 400, 500).select("doc_id", F.lit("t").alias("title"), "body", F.lit("html").alias("doc_type"))
+    users = spark.createDataFrame([(1, "teacher", ["the"]), (2, "guest", ["zzz"])], "user_id long, role string, interests array<string>")
+    clicks = spark.createDataFrame([(1, 3), (5, 3), (2, 4)], "user_id long, doc_id long")
+    size = docs.agg(F.sum(F.length("body"))).first()[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled(spark, lambda: personal.personalised(docs.repartition(4), users, clicks).write.format("noop").mode("overwrite").save()) < 1.5 * size
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

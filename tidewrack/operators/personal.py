@@ -23,13 +23,17 @@ def personal(interest: Column, role: Column, clicked: Column, config: RankingCon
 
 
 def personalised(docs: DataFrame, users: DataFrame, clicks: DataFrame, config: RankingConfig = DEFAULT, most_users: int = 1000) -> DataFrame:
-    """user_id, doc_id, pers for each user (a few, named by the caller) and document; users(user_id, role, interests), clicks(user_id, doc_id)."""
+    """user_id, doc_id, pers for each user (a few, named by the caller) and document; users(user_id, role, interests), clicks(user_id, doc_id).
+
+    Texts are read where they lie: only what a user and a document have in common meets the clicks of these users.
+    """
     if users.limit(most_users + 1).count() > most_users:
         raise ValueError(f"more than {most_users} users: personal scores are for a few at a time")
     pairs = docs.select("doc_id", "title", "body", "doc_type").join(F.broadcast(users), how="cross")
-    own = clicks.select("user_id", "doc_id", F.lit(True).alias("clicked")).distinct()
+    pairs = pairs.select("user_id", "doc_id", interest_match(F.col("interests"), F.col("title"), F.col("body")).alias("interest"), role_match(F.col("role"), F.col("doc_type"), config).alias("fits"))
+    own = clicks.select("user_id", "doc_id", F.lit(True).alias("clicked")).join(F.broadcast(users.select("user_id")), "user_id", "left_semi").distinct()
     pairs = pairs.join(own, ["user_id", "doc_id"], "left")
-    pers = personal(interest_match(F.col("interests"), F.col("title"), F.col("body")), role_match(F.col("role"), F.col("doc_type"), config), F.coalesce("clicked", F.lit(False)), config)
+    pers = personal(F.col("interest"), F.col("fits"), F.coalesce("clicked", F.lit(False)), config)
     return pairs.select("user_id", "doc_id", pers.alias("pers"))
 
 
