@@ -264,3 +264,33 @@ def test_personal_scores_shuffle_no_texts(spark):
         assert shuffled(spark, lambda: personal.personalised(docs.repartition(4), users, clicks).write.format("noop").mode("overwrite").save()) < 1.5 * size
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_snippets_hold_no_row_for_each_word(spark):
+    docs = made_up(spark, 50, 500)
+    plan = rank.snippets(docs, ["license"])
+    assert plan.count() == 0
+    odd = ["Xthe theX the-THE, the", "", None, "İthe the ſ", "选the课 选课the", "a选课b 选 课", "The\nlicense  the.", "ΣΑΣ ΣΑς", "c++ the+ +the"]
+    rows = [(i, x) for i, x in enumerate(odd)]
+    got = {r.doc_id: (r.off, r.snippet_score) for r in rank.snippets(spark.createDataFrame(rows, "doc_id long, body string"), ["the", "license", "选", "选课", "σας"]).collect()}
+    assert got == {i: best for i, x in rows if (best := by_words(x or "", ["the", "license", "选", "选课", "σας"]))}
+    sizes = [n for n in re.findall(r"posexplode\(([^()]*)", rank.snippets(docs, ["the"])._jdf.queryExecution().analyzed().toString())]
+    assert sizes and not any("regexp_extract_all" in n for n in sizes)
+
+
+def by_words(text, terms):
+    """off, score of the best window, word by word."""
+    han = "[㐀-鿿]"
+    off, hits = 0, []
+    pieces = re.findall(rf"{han}|(?:(?!{han})[^\W_])+|[\W_]+", text)
+    for n, piece in enumerate(pieces):
+        own = [piece.lower()]
+        if re.fullmatch(han, piece) and n + 1 < len(pieces) and re.fullmatch(han, pieces[n + 1]):
+            own.append(piece + pieces[n + 1])
+        hits += [(off, t) for t in own if t in terms]
+        off += len(piece)
+    best = []
+    for at, _ in hits:
+        inside = [t for o, t in hits if at <= o < at + DEFAULT.snippet_chars]
+        best.append((3 * len(set(inside)) + len(inside) - (DEFAULT.nav_penalty if at < DEFAULT.nav_chars else 0), -at))
+    return (-max(best)[1], max(best)[0]) if best else None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from math import log
 
@@ -124,13 +125,21 @@ def snippets(docs: DataFrame, terms: list[str], config: RankingConfig = DEFAULT)
 
     A window scores three for each distinct term and one for each hit, less a penalty in the first characters, where
     navigation stands; the earliest of equal windows wins. Han characters are terms of their own, and each with the
-    next one. Places are found without their texts, which are joined to the one best place of each document.
+    next one. A text is cut where a term may begin, so that only these places are rows; texts are joined to the one best
+    place of each document.
     """
-    han = F.col("piece").rlike(rf"^{tx.HAN}$")
-    pieces = docs.select("doc_id", F.posexplode(F.regexp_extract_all("body", F.lit(tx.HAN_PIECE), 0)).alias("n", "piece"))
+    words = sorted({t for t in terms if t})
+    any_of, letter = "|".join(map(re.escape, words)), rf"[\p{{L}}\p{{N}}&&[^{tx.HAN}]]"
+    # before a Han character's term, or one that no letter of its own kind comes before or behind; what begins there is looked at below
+    place = rf"(?iu)(?={any_of})(?:(?={tx.HAN})|(?<!{letter})(?=(?:{any_of})(?!{letter})))" if words else "(?!)"
+    cuts = docs.select("doc_id", F.split("body", place, -1).alias("cuts"))
+    head = lambda cut: F.regexp_extract(cut, rf"^(?:{tx.HAN_PIECE})", 0)
+    behind = lambda cut, n: F.when(F.length(cut) > 1, F.substring(cut, 2, 1)).otherwise(F.substring(F.get("cuts", n + 1), 1, 1))
+    pieces = cuts.select("doc_id", F.posexplode(F.transform("cuts", lambda cut, n: F.struct(F.length(cut).alias("size"), head(cut).alias("piece"), behind(cut, n).alias("next")))).alias("n", "p"))
     order = Window.partitionBy("doc_id").orderBy("n")
-    pieces = pieces.select("doc_id", "n", F.lower("piece").alias("term"), F.coalesce(F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"), han.alias("han"))
-    pieces = pieces.select("doc_id", "off", "term", "han", F.lead("han").over(order).alias("next_han"), F.lead("term").over(order).alias("next"))
+    is_han = lambda piece: F.coalesce(F.rlike(piece, F.lit(rf"^{tx.HAN}$")), F.lit(False))
+    off = F.coalesce(F.sum("p.size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.select("doc_id", off.alias("off"), F.lower("p.piece").alias("term"), is_han(F.col("p.piece")).alias("han"), is_han(F.col("p.next")).alias("next_han"), F.lower("p.next").alias("next"))
     both = F.array("term", F.when(F.col("han") & F.col("next_han"), F.concat("term", "next")))
     hits = pieces.select("doc_id", "off", F.explode(both).alias("term")).where(F.col("term").isin(*set(terms)))
     ahead = Window.partitionBy("doc_id").orderBy("off").rangeBetween(0, config.snippet_chars - 1)
