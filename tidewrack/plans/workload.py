@@ -385,7 +385,8 @@ def pagerank_bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _match(spark: SparkSession, sf_dir: str, text: str, fields: tuple[str, ...] = ("title", "body")) -> DataFrame:
     from tidewrack.plans.query import parse
 
-    return s.matching(b.docs(spark, sf_dir), parse(text), b.stored_index(spark, sf_dir, fields)).select("doc_id")
+    q = parse(text)
+    return s.matching(b.docs(spark, sf_dir), q, b.stored_index(spark, sf_dir, fields) if q.phrases or q.wildcards else None).select("doc_id")
 
 
 @query("search_site", f"WITH {_cosine('smooth')} SELECT doc_id, round(sim, 6) AS sim FROM sim JOIN documents USING (doc_id) WHERE lower(source) = 'src3'")
