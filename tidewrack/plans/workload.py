@@ -256,8 +256,7 @@ def idf_ltc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("document_norms", f"WITH {STATS} SELECT doc_id, round(sqrt(sum(power((1 + ln(tf)) * idf_smooth, 2))), 6) AS norm FROM tf JOIN st USING (term) GROUP BY doc_id")
 def document_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = _body_tf(spark, sf_dir)
-    return index.norms(tf, index.term_stats(tf, index.count_of(b.docs(spark, sf_dir)))).select("doc_id", F.round("norm", 6).alias("norm"))
+    return b.stored_index(spark, sf_dir, ("body",))["norms"].select("doc_id", F.round("norm", 6).alias("norm"))
 
 
 @query("frequent_terms", f"WITH {TOK} SELECT term, count(*) AS freq FROM tok GROUP BY term ORDER BY freq DESC, term LIMIT 50")
