@@ -14,6 +14,7 @@ from tidewrack.functions import urls
 from tidewrack.operators import frontier, index, pagerank, personal, rank, recall
 from tidewrack.plans import bindings as b
 from tidewrack.plans import search as s
+from tidewrack.scratch import kept
 from tidewrack.sources import html
 from tidewrack.streaming import logs
 
@@ -382,6 +383,7 @@ def pagerank_bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _match(spark: SparkSession, sf_dir: str, text: str, fields: tuple[str, ...] = ("title", "body")) -> DataFrame:
+    """The index is needed, and made where there is none yet, for phrases and wildcards alone."""
     from tidewrack.plans.query import parse
 
     q = parse(text)
@@ -623,12 +625,16 @@ def _han(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.docs(spark, sf_dir).withColumn("body", F.translate(F.lower("body"), HAN_LETTERS, HAN_SIGNS))
 
 
+def _han_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    write = lambda path: index.store_index(_han(spark, sf_dir), {"body": "body"}, path)
+    return index.stored_index(spark, kept(spark, "index-han", f"{sf_dir}/documents.parquet", write))
+
+
 @query("han_cosine", f"WITH {HAN} SELECT doc_id, round(sum(w * wq) / (max(norm) * max(qn)), 6) AS sim FROM w JOIN q USING (term) JOIN norm USING (doc_id), qn GROUP BY doc_id")
 def han_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewrack.plans.query import parse
 
-    ix = index.build_index(_han(spark, sf_dir), {"body": "body"})
-    return rank.field_cosines(ix, parse("图书 选课").terms).select("doc_id", F.round("sim", 6).alias("sim"))
+    return rank.field_cosines(_han_index(spark, sf_dir), parse("图书 选课").terms).select("doc_id", F.round("sim", 6).alias("sim"))
 
 
 @query("han_phrase", f"WITH {HAN} SELECT doc_id FROM hd WHERE contains(x, '图选课') OR regexp_matches(x, '图[^\\p{{L}}\\p{{N}}]*选[^\\p{{L}}\\p{{N}}]*课')")
@@ -636,7 +642,7 @@ def han_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewrack.plans.query import parse
 
     docs = _han(spark, sf_dir).select("doc_id", "url", "host", "doc_type", "body")
-    return s.matching(docs, parse("“图选课”"), index.build_index(docs, {"body": "body"}, positions=True)).select("doc_id")
+    return s.matching(docs, parse("“图选课”"), _han_index(spark, sf_dir)).select("doc_id")
 
 
 @query("han_snippet", rf"""WITH hd AS (SELECT doc_id, translate(lower(coalesce(text, '')), '{HAN_LETTERS}', '{HAN_SIGNS}') AS x FROM documents), f AS (SELECT doc_id, x, strpos(x, '图选课') AS pos FROM hd WHERE contains(x, '图选课'))
