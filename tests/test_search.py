@@ -294,3 +294,12 @@ def by_words(text, terms):
         inside = [t for o, t in hits if at <= o < at + DEFAULT.snippet_chars]
         best.append((3 * len(set(inside)) + len(inside) - (DEFAULT.nav_penalty if at < DEFAULT.nav_chars else 0), -at))
     return (-max(best)[1], max(best)[0]) if best else None
+
+
+def test_pagerank_shuffles_ranks_not_edges(spark):
+    pairs = spark.range(200).select(F.concat(F.lit("a"), "id").alias("src")).crossJoin(spark.range(400).select(F.concat(F.lit("b"), "id").alias("dst")))
+    edges = pairs.union(pairs.select("dst", "src"))  # 160,000, of 600 vertices
+    once, all_ = (shuffled(spark, lambda n=n: pagerank.pagerank(edges, iterations=n)) for n in (1, 10))
+    assert all_ < 2 * once
+    got = {r.id: r.pr for r in pagerank.pagerank(edges).collect()}
+    assert len(got) == 600 and sum(got.values()) == pytest.approx(1) and len({round(x, 12) for x in got.values()}) == 2
